@@ -1,10 +1,10 @@
 """The training-data queries by name, and DuckDB SQL for those that SQL can express."""
 
-from . import line_dedup, packing, token_files
+from . import language_id, line_dedup, packing, quality, token_files
 
 
 def queries() -> dict:
-    found = (packing.op4_best_fit_packing, line_dedup.op7_line_dedup, token_files.op9_token_files)
+    found = (language_id.op1_language_id, quality.op2_quality_rules, packing.op4_best_fit_packing, line_dedup.op7_line_dedup, token_files.op9_token_files)
     return {f.__name__: f for f in found}
 
 
