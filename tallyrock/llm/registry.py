@@ -1,10 +1,10 @@
 """The training-data queries by name, and DuckDB SQL for those that SQL can express."""
 
-from . import language_id, line_dedup, near_dedup, packing, quality, token_files
+from . import language_id, line_dedup, near_dedup, packing, quality, repeats, token_files
 
 
 def queries() -> dict:
-    found = (language_id.op1_language_id, quality.op2_quality_rules, near_dedup.op3_minhash_near_dedup, packing.op4_best_fit_packing, line_dedup.op7_line_dedup, token_files.op9_token_files)
+    found = (language_id.op1_language_id, quality.op2_quality_rules, near_dedup.op3_minhash_near_dedup, packing.op4_best_fit_packing, line_dedup.op7_line_dedup, token_files.op9_token_files, repeats.op10_suffix_array_dedup)
     return {f.__name__: f for f in found}
 
 
