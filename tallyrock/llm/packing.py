@@ -112,9 +112,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: i
     doc_id, piece, start, length, ids_crc32. Null and empty texts are the end id alone."""
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import Encoder
+        from .tokens import encoder
 
-        encode = Encoder(tokenizer, style)
+        encode = encoder(tokenizer, style)
         for batch in batches:
             rows = []
             for lo in range(0, batch.num_rows, 500):

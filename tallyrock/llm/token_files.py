@@ -143,9 +143,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, style: str = "byte", end_
     folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import Encoder
+        from .tokens import encoder
 
-        encode, writer, rows = Encoder(tokenizer, style), None, []
+        encode, writer, rows = encoder(tokenizer, style), None, []
         width = 2 if encode.tokenizer.get_vocab_size() <= 1 << 16 else 4
         part = TaskContext.get().partitionId()
         fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)

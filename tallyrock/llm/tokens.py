@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,25 +46,28 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.style, self.kinds = style, _kinds()
         self.small = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(KNOWN)], np.uint32)
-        self.table: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.at = [0]
+        self._forget()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _forget(self) -> None:
+        self.table: dict[int, int] = {}
+        self.ends = np.zeros(1 << 16, np.int64)  # ends[k + 1] closes entry k in flat
+        self.flat = np.zeros(1 << 18, np.uint32)
+
     def _learn(self, keys: list[int], runs: list[str]) -> None:
-        if len(self.table) > REMEMBERED:
-            self.table, self.at = {}, [0]
-        got = self._whole(runs)
-        total = sum(map(len, got))
-        while self.at[-1] + total > len(self.flat):
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        known, at = len(self.table), int(self.ends[len(self.table)])
+        total = int(sizes.sum())
+        while known + len(ids) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while at + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if total:
-            self.flat[self.at[-1] : self.at[-1] + total] = np.concatenate(got)
-        for key, ids in zip(keys, got, strict=True):
-            self.table[key] = len(self.at) - 1
-            self.at.append(self.at[-1] + len(ids))
+        self.ends[known + 1 : known + len(ids) + 1] = at + np.cumsum(sizes)
+        self.flat[at : at + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.table.update(zip(keys, range(known, known + len(ids)), strict=True))
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null has none."""
@@ -126,16 +131,22 @@ class Encoder:
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
         listed = unique.tolist()
         fresh = [k for k, key in enumerate(listed) if key not in self.table]
-        if fresh or len(self.table) > REMEMBERED:
+        if fresh:
             if len(self.table) + len(fresh) > REMEMBERED:
-                self.table, self.at = {}, [0]
+                self._forget()
                 fresh = list(range(len(listed)))
             self._learn([listed[k] for k in fresh], [text[first[at[k]] : last[at[k]]] for k in fresh])
         slot = np.fromiter(map(self.table.__getitem__, listed), np.int64, len(listed))[back]
-        ends = np.asarray(self.at, np.int64)
-        size = ends[slot + 1] - ends[slot]
+        begin = self.ends[slot]
+        size = self.ends[slot + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(ends[slot] - total[:-1], size) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         places = total[np.searchsorted(first, starts)]
         for d in np.flatnonzero(plain):
             result[d] = ids[places[d] : places[d + 1]]
+
+
+@cache
+def encoder(path: str, style: str) -> Encoder:
+    """One for each worker process, so that what it remembers serves all its tasks."""
+    return Encoder(path, style)
