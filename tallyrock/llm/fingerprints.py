@@ -20,6 +20,8 @@ K, S = 24, 14
 SIZE = 64
 #: Documents in a run of neighbouring doc_ids that one task sorts together, on average.
 RUN = 512
+#: Up to so many runs, one small row of each is broadcast (3 MB at most).
+BROADCAST_RUNS = 1 << 17
 
 
 def is_anchor(binary: Column, i: Column) -> Column:
@@ -78,6 +80,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
     edges = inside.groupBy("_coarse").agg(F.max("_run").alias("_last"))
     edges = edges.select("_coarse", F.coalesce(F.lag("_last").over(Window.orderBy("_coarse")), F.max("_last").over(Window.partitionBy())).alias("_wrapped"))
     before = inside.join(edges, "_coarse").select(F.col("first").alias("doc_id"), F.coalesce("_before", "_wrapped").alias("_run"), F.lit(True).alias("_ghost"))
+    if (high - low) // width < BROADCAST_RUNS:  # else the join shuffles, and Spark splits what is skewed
+        before = F.broadcast(before)
     ghosts = docs.join(before, "doc_id")
     return dealt.unionByName(ghosts)
 
