@@ -5,7 +5,6 @@ merged, outer joins too; a predicate without one compares all pairs of rows and
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 
 def qualify(df: DataFrame, ref: str) -> DataFrame:
@@ -32,7 +31,7 @@ def join_chain(first: DataFrame, *steps: tuple[DataFrame, Column, str]) -> DataF
     return first
 
 
-def without_match(left: DataFrame, right: DataFrame, on: Column, key: str) -> DataFrame:
-    """Rows of the left side without a partner: a left join where the partner's key is null. Catalyst
-    turns it into an anti join."""
-    return left.join(right, on, "left").where(F.col(key).isNull())
+def without_match(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """Rows of the left side without a partner: what a left join filtered by a null key of the right
+    side gives, as an anti join that never builds the padded rows."""
+    return left.join(right, on, "left_anti")

@@ -256,7 +256,7 @@ def join_self(s, d):
 
 @query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
 def anti_via_left(s, d):
-    return project(without_match(scan(s, d, "customer"), scan(s, d, "orders"), c("o_custkey") == c("c_custkey"), "o_orderkey"), "c_custkey")
+    return project(without_match(scan(s, d, "customer"), scan(s, d, "orders"), c("o_custkey") == c("c_custkey")), "c_custkey")
 
 
 # --- aggregates ------------------------------------------------------------------------------
