@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._linear import POINT, Model, Sample, binary, code_points, fit, grams, sparse_rows
-from ._shared import documents
+from ._shared import documents, small_batches
 from ._text import chunks, utf8
 
 BITS = 14
@@ -103,6 +103,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageMo
     """Learn from ``docs`` (doc_id, text, lang): at most about ``sample_rows`` of each language.
 
     Rows with a null text or lang are not used. The number of languages is taken to be small."""
+    small_batches(docs.sparkSession)
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages: dict[str, list[str]] = {}
@@ -145,6 +146,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text, or one without a letter, is ``und`` with score 0; so is every text where nothing
     could be learnt. Columns named lang_pred or score are replaced, all others pass through."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     spread = docs.sparkSession.sparkContext.broadcast(model)

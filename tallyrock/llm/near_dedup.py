@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import by_key, components, documents, saved
+from ._shared import by_key, components, documents, saved, small_batches
 from ._text import LOWER, STEP, U64, Rolling, chunks, mix, shingles, utf8, words
 
 #: Bands times rows a band: at similarity 0.85 a pair shares no band once in 25,000 times.
@@ -81,6 +81,8 @@ SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long
 def sketches(docs: DataFrame) -> DataFrame:
     """Size, 128-bit key, band keys and packed signature of each text's shingle set; a written table."""
 
+    small_batches(docs.sparkSession)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = STEP[np.arange(ROWS) % 8]
         for batch in batches:
@@ -216,6 +218,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[i
 
 def confirmed(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     """(a, b): links between members (id, component) of a family, confirmed on their whole sets."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id")
     dealt = in_blocks(texts, ["component"], FAMILY_BLOCK).select("_task", "component", "_side", "id", "text")
 

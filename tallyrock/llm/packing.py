@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import documents, running_totals, saved
+from ._shared import documents, running_totals, saved, small_batches
 
 #: A sequence's tokens.
 SIZE = 4096
@@ -111,6 +111,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, style: str = "word", end_id: i
 
     doc_id, piece, start, length, ids_crc32. Null and empty texts are the end id alone."""
 
+    small_batches(docs.sparkSession)
+
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import encoder
 

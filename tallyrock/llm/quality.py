@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._linear import POINT, Model, Sample, binary, code_points, fit, grams, platt, sparse_rows
-from ._shared import documents
+from ._shared import documents, small_batches
 from ._text import SPACE, U64, Rolling, chunks, mix, shingles, utf8, words
 
 BITS = 14
@@ -82,6 +82,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
     Labels with a null quality or doc_id are not used. One in five of the sample is held out of
     the regression to calibrate its probabilities; the classes are weighed as they are labelled."""
+    small_batches(docs.sparkSession)
     labels = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     counts = {r["good"]: r["count"] for r in labels.groupBy("good").count().collect()}
     size = 3 << BITS
@@ -123,6 +124,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
 
     A null text counts as empty and fails the base rules (under 10 words). Columns that have the
     names of these results are replaced; all others pass through, nulls and repeated rows too."""
+    small_batches(docs.sparkSession)
     names = {n for n, _ in RULES}
     kept = [f for f in docs.schema.fields if f.name not in names]
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in RULES])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import by_key, documents, saved
+from ._shared import by_key, documents, saved, small_batches
 from ._text import U64, Rolling, chunks, utf8
 
 LENGTH, ANCHOR = 200, 64
@@ -81,6 +81,8 @@ RUN = "doc_id long, anchor long, seg long, start long, n int"
 def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """One row for each run of starts with one anchor; ``seg`` is a hash of all bytes of its strings."""
 
+    small_batches(docs.sparkSession)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, running_totals, saved, shared_dir
+from ._shared import documents, running_totals, saved, shared_dir, small_batches
 
 MAGIC = b"TRKIDS01"
 SAMPLE = 256
@@ -140,6 +140,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, style: str = "byte", end_
     written each. Executors write to ``folder``, which must be shared (by default below the
     session's checkpoint folder); a file appears under its name only once it is whole."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,9 +15,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from ._text import Rolling, chunks, utf8
+from ._text import U64, Rolling, chunks, utf8
 
-#: Runs that a worker remembers at most; beyond it the table begins anew. About 200 bytes each.
+#: Runs that a worker remembers at most; beyond it the table begins anew. About 40 bytes each.
 REMEMBERED = 1_000_000
 #: Code points that the fast way knows: below it every text is in normal form C.
 KNOWN = 0x250
@@ -52,22 +52,32 @@ class Encoder:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _forget(self) -> None:
-        self.table: dict[int, int] = {}
-        self.ends = np.zeros(1 << 16, np.int64)  # ends[k + 1] closes entry k in flat
-        self.flat = np.zeros(1 << 18, np.uint32)
-
-    def _learn(self, keys: list[int], runs: list[str]) -> None:
+        self.keys = np.zeros(0, U64)  # of the runs known, sorted
+        self.slots = np.zeros(0, np.int32)  # where each run's ids lie: flat[ends[slot] : ends[slot + 1]]
+        self.ends = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys among the known ones, and whether they are there."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return at, there
+
+    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        known, at = len(self.table), int(self.ends[len(self.table)])
-        total = int(sizes.sum())
+        known = len(self.keys)
+        at, total = int(self.ends[known]), int(sizes.sum())
         while known + len(ids) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while at + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.ends[known + 1 : known + len(ids) + 1] = at + np.cumsum(sizes)
         self.flat[at : at + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.table.update(zip(keys, range(known, known + len(ids)), strict=True))
+        places = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, places, keys)
+        self.slots = np.insert(self.slots, places, np.arange(known, known + len(ids), dtype=np.int32))
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null has none."""
@@ -129,14 +139,15 @@ class Encoder:
         wide = points.astype(np.uint16).view(np.uint8)  # all known points have two bytes
         keys = Rolling(wide).ranges(first * 2, last * 2)
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        listed = unique.tolist()
-        fresh = [k for k, key in enumerate(listed) if key not in self.table]
-        if fresh:
-            if len(self.table) + len(fresh) > REMEMBERED:
-                self._forget()
-                fresh = list(range(len(listed)))
-            self._learn([listed[k] for k in fresh], [text[first[at[k]] : last[at[k]]] for k in fresh])
-        slot = np.fromiter(map(self.table.__getitem__, listed), np.int64, len(listed))[back]
+        _, there = self._find(unique)
+        if len(self.keys) + int((~there).sum()) > REMEMBERED:
+            self._forget()
+            there[:] = False
+        fresh = np.flatnonzero(~there)
+        for lo in range(0, len(fresh), 20_000):
+            some = fresh[lo : lo + 20_000]
+            self._learn(unique[some], [text[i:j] for i, j in zip(first[at[some]].tolist(), last[at[some]].tolist(), strict=True)])
+        slot = self.slots[self._find(unique)[0]][back]
         begin = self.ends[slot]
         size = self.ends[slot + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
