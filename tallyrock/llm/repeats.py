@@ -265,7 +265,8 @@ class Repeats:
         self.docs, self.length, self.bucket = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, bucket
         known = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
         found = runs(known, length, min(ANCHOR, length))
-        twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+        # written, so that the join below has two plain exchanges and Spark can split a hot anchor's rows
+        twice = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeat-anchors")
         self.runs = saved(found.join(twice, "anchor").select(*found.columns), "repeat-runs")
         segs = self.runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "start", "n")).alias("first"))
         self.segs = saved(segs.select("anchor", "seg", "many", "first.doc_id", "first.start", "first.n"), "repeat-segs")
