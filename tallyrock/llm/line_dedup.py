@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents
+from ._shared import documents, saved
 
 BLANK = "\t\n\x0b\x0c\r "
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,9 +36,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Data
     keyed = rows.select("doc_id", F.transform("_lines", line_key).alias("k"))
     hashes = F.array_distinct(F.transform(F.filter("k", lambda k: F.length(k) >= min_chars), _hash))
     found = keyed.select("doc_id", F.explode(hashes).alias("h")).select("doc_id", "h.a", "h.b")
-    shared = (
+    # written, so that the join below has two plain exchanges and Spark can split a hot line's rows
+    shared = saved(
         found.distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("a", "b", "keeper")
+        .where(F.col("n") >= min_docs).select("a", "b", "keeper"), "line-keepers",
     )
     dropped = (
         found.join(shared, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
