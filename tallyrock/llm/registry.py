@@ -9,4 +9,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.ORACLE}
+    return {"op3_minhash_near_dedup": near_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op10_suffix_array_dedup": repeats.ORACLE}

@@ -343,3 +343,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(documents(spark, sf_dir))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 200 bytes, counted: for small tables.
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM texts WHERE n >= 200)),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM strings WHERE s IN (SELECT s FROM twice)),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM hits),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM spans),
+cut AS (
+  SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k,
+         sum(b - a) AS gone, count(*) AS c
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (doc_id)
+"""
