@@ -15,13 +15,12 @@ from ..functions import (
     max_of, min_of, modulo, negate, not_between, not_in_list, not_like, sum_of, upper_of,
 )
 from ..operators import (
-    aggregate, asc, constants, desc, distinct, distinct_ordered, inner_join, join_chain, keep, left_join, limit, order, project, qualify,
+    Item, aggregate, asc, desc, distinct, distinct_ordered, inner_join, join_chain, keep, left_join, limit, order, project, qualify,
     right_join, star, top_k, without_match,
 )
 from ..session import on_tables, select
 from ..sources import as_inserts, point, scan, span
 from ..tables import BIGINT, INT, VARCHAR, Check, Column_, Database, ForeignKey, Index, Table, Unique
-from .explain import explain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,22 +46,19 @@ def total(value: Column) -> Column:
 # --- scans and projections -------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT c_custkey, c_name FROM customer")
 def scan_project(s, d):
-    return project(scan(s, d, "nation"), "n_nationkey", "n_name")
+    return project(scan(s, d, "customer"), "c_custkey", "c_name")
 
 
-@query("SELECT * FROM region")
+@query("SELECT * FROM customer")
 def select_star(s, d):
-    return star(scan(s, d, "region"))
+    return star(scan(s, d, "customer"))
 
 
-@query("SELECT n_nationkey AS key, upper(n_name) AS \"UPPER\", n_regionkey + 1 AS column3 FROM nation")
+@query("SELECT c_custkey AS key, upper(c_mktsegment) AS \"UPPER\", c_nationkey + 1 AS column3 FROM customer")
 def labels(s, d):
-    from ..operators import Item
-
-    n = scan(s, d, "nation")
-    return project(n, ("key", c("n_nationkey")), Item(upper_of(c("n_name")), function="UPPER"), c("n_regionkey").cast("int") + 1)
+    return project(scan(s, d, "customer"), ("key", c("c_custkey")), Item(upper_of(c("c_mktsegment")), function="UPPER"), c("c_nationkey") + 1)
 
 
 @query("SELECT count(*)::BIGINT AS n, min(o_orderkey) AS low FROM orders WHERE o_orderkey = 7")
@@ -98,9 +94,9 @@ def filter_and_or_not(s, d):
     return project(keep(scan(s, d, "orders"), ((c("o_orderstatus") != "F") | (c("o_totalprice") < 5000)) & ~(c("o_custkey") > 100)), "o_orderkey")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_regionkey % 2 <> 0")
+@query("SELECT c_custkey FROM customer WHERE c_nationkey % 2 <> 0")
 def filter_number_as_truth(s, d):
-    return project(keep(scan(s, d, "nation"), modulo(c("n_regionkey"), F.lit(2))), "n_nationkey")
+    return project(keep(scan(s, d, "customer"), modulo(c("c_nationkey"), F.lit(2))), "c_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
@@ -108,9 +104,9 @@ def arith(s, d):
     return project(scan(s, d, "lineitem"), "l_orderkey", "l_linenumber", ("net", F.round(c("l_extendedprice") * (1 - c("l_discount")), 4)))
 
 
-@query("SELECT n_nationkey, n_regionkey / 2 AS half FROM nation")
+@query("SELECT p_partkey, p_size / 2 AS half FROM part")
 def division(s, d):
-    return project(scan(s, d, "nation"), "n_nationkey", ("half", divide(c("n_regionkey"), F.lit(2))))
+    return project(scan(s, d, "part"), "p_partkey", ("half", divide(c("p_size"), F.lit(2))))
 
 
 @query("SELECT p_partkey, trunc(p_retailprice)::BIGINT % 7 AS left_over FROM part")
@@ -164,14 +160,12 @@ def placeholder(s, d):
     return select(on_tables(s, d, "orders"), "SELECT o_orderkey FROM orders WHERE o_totalprice > ? AND o_orderstatus = ?", [20000, "O"])
 
 
-@query("SELECT CAST(NULL AS BOOLEAN) AND false AS a, CAST(NULL AS BOOLEAN) OR true AS b, NOT CAST(NULL AS BOOLEAN) AS c, 1 IN (2, NULL) AS d")
+@query("""SELECT c_custkey, o_orderkey, o_totalprice > 1000 AND c_custkey < 50 AS both, o_totalprice > 1000 OR c_custkey < 50 AS either,
+NOT (o_totalprice > 1000) AS neither, o_custkey IN (1, 2, NULL) AS listed FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'""")
 def three_valued(s, d):
-    return constants(s, ("a", F.lit(None).cast("boolean") & F.lit(False)), ("b", F.lit(None).cast("boolean") | F.lit(True)), ("c", ~F.lit(None).cast("boolean")), ("d", in_list(F.lit(1), [2, None])))
-
-
-@query("SELECT 1 AS one, 'x' AS text, 2.5::DOUBLE AS number")
-def no_from(s, d):
-    return constants(s, ("one", F.lit(1)), ("text", F.lit("x")), ("number", F.lit(2.5)))
+    joined = left_join(scan(s, d, "customer"), scan(s, d, "orders"), (c("o_custkey") == c("c_custkey")) & (c("o_orderstatus") == "F"))
+    dear, early = c("o_totalprice") > 1000, c("c_custkey") < 50
+    return project(joined, "c_custkey", "o_orderkey", ("both", dear & early), ("either", dear | early), ("neither", ~dear), ("listed", in_list(c("o_custkey"), [1, 2, None])))
 
 
 # --- scalar functions ------------------------------------------------------------------------
@@ -200,9 +194,9 @@ def fn_abs(s, d):
     return project(scan(s, d, "supplier"), "s_suppkey", ("size", abs_of(c("s_acctbal"))))
 
 
-@query("SELECT n_nationkey, n_name || '/' || n_regionkey || CASE WHEN n_regionkey > 2 THEN '1' ELSE '' END AS text FROM nation")
+@query("SELECT c_custkey, c_name || '/' || c_nationkey || CASE WHEN c_nationkey > 12 THEN '1' ELSE '' END AS text FROM customer")
 def fn_concat(s, d):
-    return project(scan(s, d, "nation"), "n_nationkey", ("text", concat_of(c("n_name"), F.lit("/"), c("n_regionkey"), c("n_regionkey") > 2, flags=(3,))))
+    return project(scan(s, d, "customer"), "c_custkey", ("text", concat_of(c("c_name"), F.lit("/"), c("c_nationkey"), c("c_nationkey") > 12, flags=(3,))))
 
 
 @query("SELECT c_custkey, coalesce(o_orderkey, -1) AS first_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P'")
@@ -225,10 +219,10 @@ def join_multi_conjunct(s, d):
     return project(inner_join(scan(s, d, "orders"), scan(s, d, "customer"), (c("o_custkey") == c("c_custkey")) & (c("o_totalprice") > c("c_acctbal") * 10)), "o_orderkey", "c_name")
 
 
-@query("SELECT a.n_name AS low, b.r_name AS high FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey")
+@query("SELECT s.s_suppkey, n.n_name FROM supplier s JOIN nation n ON s.s_nationkey < n.n_nationkey")
 def join_theta(s, d):
-    joined = inner_join(qualify(scan(s, d, "nation"), "a"), qualify(scan(s, d, "region"), "b"), c("a.n_regionkey") < c("b.r_regionkey"))
-    return project(joined, ("low", c("a.n_name")), ("high", c("b.r_name")))
+    joined = inner_join(qualify(scan(s, d, "supplier"), "s"), qualify(scan(s, d, "nation"), "n"), c("s.s_nationkey") < c("n.n_nationkey"))
+    return project(joined, "s.s_suppkey", "n.n_name")
 
 
 @query("SELECT c_custkey, count(o_orderkey)::BIGINT AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -247,11 +241,11 @@ def join_three_way(s, d):
     return project(joined, "c_custkey", "n_name", "r_name")
 
 
-@query("SELECT a.n_name AS one, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")
+@query("SELECT a.l_orderkey, a.l_linenumber AS one, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber < b.l_linenumber")
 def join_self(s, d):
-    n = scan(s, d, "nation")
-    joined = inner_join(qualify(n, "a"), qualify(n, "b"), c("a.n_regionkey") == c("b.n_regionkey"))
-    return project(keep(joined, c("a.n_nationkey") < c("b.n_nationkey")), ("one", c("a.n_name")), ("other", c("b.n_name")))
+    lines = scan(s, d, "lineitem")
+    joined = inner_join(qualify(lines, "a"), qualify(lines, "b"), c("a.l_orderkey") == c("b.l_orderkey"))
+    return project(keep(joined, c("a.l_linenumber") < c("b.l_linenumber")), "a.l_orderkey", ("one", c("a.l_linenumber")), ("other", c("b.l_linenumber")))
 
 
 @query("SELECT c_custkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
@@ -267,9 +261,9 @@ def agg_global(s, d):
     return aggregate(scan(s, d, "lineitem"), items={"n": count_all(), "quantity": total(c("l_quantity")), "first": min_of(c("l_shipdate")), "last": max_of(c("l_shipdate"))})
 
 
-@query("SELECT count(*)::BIGINT AS n, sum(n_nationkey)::BIGINT AS total, max(n_name) AS name FROM nation WHERE n_nationkey < 0")
+@query("SELECT count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS total, max(c_name) AS name FROM customer WHERE c_custkey < 0")
 def agg_empty(s, d):
-    return aggregate(keep(scan(s, d, "nation"), c("n_nationkey") < 0), items={"n": count_all(), "total": sum_of(c("n_nationkey")), "name": max_of(c("n_name"))})
+    return aggregate(keep(scan(s, d, "customer"), c("c_custkey") < 0), items={"n": count_all(), "total": sum_of(c("c_custkey")), "name": max_of(c("c_name"))})
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity,
@@ -338,9 +332,9 @@ def order_limit(s, d):
     return limit(order(project(scan(s, d, "orders"), "o_orderkey", "o_totalprice"), desc("o_totalprice"), asc("o_orderkey")), 20)
 
 
-@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name OFFSET 20")
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey OFFSET 5")
 def order_offset(s, d):
-    return limit(order(project(scan(s, d, "nation"), "n_nationkey", "n_name"), asc("n_name")), offset=20)
+    return limit(order(project(scan(s, d, "supplier"), "s_suppkey", "s_name"), asc("s_name"), asc("s_suppkey")), offset=5)
 
 
 @query("SELECT c_name FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10 OFFSET 5")
@@ -367,19 +361,17 @@ def revenue_by_nation(s, d):
 
 
 def world(s: SparkSession, d: str, on_delete: str = "cascade", on_update: str = "cascade") -> Database:
-    """region, nation, customer and orders of the test tables with keys, and orders following customers."""
+    """customer and orders of the test tables as declared tables; orders follow their customers."""
     db = Database(s)
-    db.create_table(Table("region", (Column_("r_regionkey", INT), Column_("r_name", VARCHAR(50), not_null=True)), (Unique(("r_regionkey",), primary=True),)))
     db.create_table(Table(
-        "nation", (Column_("n_nationkey", INT), Column_("n_name", VARCHAR(50)), Column_("n_regionkey", INT)), (Unique(("n_nationkey",), primary=True),),
-        (Check("n_nationkey >= 0"),), (ForeignKey(("n_regionkey",), "region", ("r_regionkey",), on_delete, on_update),),
+        "customer", (Column_("c_custkey", BIGINT), Column_("c_name", VARCHAR(50), not_null=True), Column_("c_nationkey", INT)),
+        (Unique(("c_custkey",), primary=True),), (Check("c_custkey >= 0"),),
     ))
     db.create_table(Table(
         "orders", (Column_("o_orderkey", BIGINT), Column_("o_custkey", BIGINT), Column_("o_orderstatus", VARCHAR(1), default="O"), Column_("o_totalprice", BIGINT)),
-        (Unique(("o_orderkey",), primary=True),), (Check("o_totalprice >= 0"),),
+        (Unique(("o_orderkey",), primary=True),), (Check("o_totalprice >= 0"),), (ForeignKey(("o_custkey",), "customer", ("c_custkey",), on_delete, on_update),),
     ))
-    db.insert("region", scan(s, d, "region"))
-    db.insert("nation", scan(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    db.insert("customer", scan(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
     db.insert("orders", scan(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.floor("o_totalprice").alias("o_totalprice")))
     return db
 
@@ -408,39 +400,39 @@ def dml_delete(s, d):
     return db.table("orders")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1")
+@query(f"SELECT * FROM ({_ORDERS}) WHERE o_custkey % 10 <> 1")
 def dml_delete_cascade(s, d):
     db = world(s, d)
-    db.delete("region", c("r_regionkey") == 1)
-    return db.table("nation")
+    db.delete("customer", c("c_custkey") % 10 == 1)
+    return db.table("orders")
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey <> 2 THEN n_regionkey END AS n_regionkey FROM nation")
+@query(f"SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 2 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM ({_ORDERS})")
 def dml_delete_set_null(s, d):
     db = world(s, d, on_delete="set null")
-    db.delete("region", c("r_regionkey") == 2)
-    return db.table("nation")
+    db.delete("customer", c("c_custkey") % 10 == 2)
+    return db.table("orders")
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 3 THEN 33 ELSE n_regionkey END AS n_regionkey FROM nation")
+@query(f"SELECT o_orderkey, CASE WHEN o_custkey % 10 = 3 THEN o_custkey + 100000000 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM ({_ORDERS})")
 def dml_update_cascade(s, d):
     db = world(s, d)
-    db.update("region", {"r_regionkey": 33}, c("r_regionkey") == 3)
-    return db.table("nation")
+    db.update("customer", {"c_custkey": c("c_custkey") + 100_000_000}, c("c_custkey") % 10 == 3)
+    return db.table("orders")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, 7 AS extra FROM nation")
+@query("SELECT c_custkey, c_name, c_nationkey, 7 AS extra FROM customer")
 def alter_add(s, d):
     db = world(s, d)
-    db.add_column("nation", Column_("extra", INT, not_null=True, default=7))
-    return db.table("nation")
+    db.add_column("customer", Column_("extra", INT, not_null=True, default=7))
+    return db.table("customer")
 
 
-@query("SELECT n_nationkey, n_regionkey FROM nation")
+@query("SELECT c_custkey, c_nationkey FROM customer")
 def alter_drop(s, d):
     db = world(s, d)
-    db.drop_column("nation", "n_name")
-    return db.table("nation")
+    db.drop_column("customer", "c_name")
+    return db.table("customer")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM orders")
@@ -471,11 +463,6 @@ def savepoint(s, d):
     return db.table("orders")
 
 
-@query("""SELECT 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES (' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ');' AS statement FROM nation""")
+@query("""SELECT 'INSERT INTO "customer" ("c_custkey", "c_name", "c_nationkey") VALUES (' || c_custkey || ', ''' || replace(c_name, '''', '''''') || ''', ' || c_nationkey || ');' AS statement FROM customer""")
 def export_inserts(s, d):
-    return as_inserts(scan(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "nation")
-
-
-@query()
-def explain_plan(s, d):
-    return explain(join_inner_hash(s, d))
+    return as_inserts(scan(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer")
