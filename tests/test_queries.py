@@ -12,20 +12,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.fixture(scope="module")
-def duck(sf_dir):
+def duck(sf):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
-@pytest.fixture(scope="module")
-def sf_dir():
-    from conftest import SF
-
-    return SF
-
-
 def plain(v):
     if isinstance(v, Decimal):
         return float(v)
@@ -33,8 +26,8 @@ def plain(v):
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_oracle(spark, duck, sf_dir, name):
-    df = entry.queries()[name](spark, sf_dir)
+def test_oracle(spark, duck, sf, name):
+    df = entry.queries()[name](spark, sf)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
     found = duck.execute(f"SELECT {', '.join(f'\"{x}\"' for x in columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
