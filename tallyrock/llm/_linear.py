@@ -94,8 +94,23 @@ class Sample:
         return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(self.values * w[self.places], dtype=np.float64)])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        """Each row's product with w, some rows at a time."""
+        out = np.zeros(len(self.at) - 1)
+        for a in range(0, len(out), 256):
+            at = self.at[a : a + 257]
+            part = slice(at[0], at[-1])
+            total = np.concatenate([[0.0], np.cumsum(self.values[part] * w[self.places[part]], dtype=np.float64)])
+            out[a : a + 256] = total[at[1:] - at[0]] - total[at[:-1] - at[0]]
+        return out
+
+    def gather(self, g: np.ndarray) -> np.ndarray:
+        """The sum of all rows, each times its g, some rows at a time."""
+        out = np.zeros(self.size)
+        for a in range(0, len(g), 256):
+            at = self.at[a : a + 257]
+            part = slice(at[0], at[-1])
+            out += np.bincount(self.places[part], weights=self.values[part] * np.repeat(g[a : a + 256], np.diff(at)), minlength=self.size)
+        return out
 
 
 def fit(x: Sample, y: np.ndarray, loss: str, weight: np.ndarray | None = None, rounds: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -103,19 +118,21 @@ def fit(x: Sample, y: np.ndarray, loss: str, weight: np.ndarray | None = None, r
     machine) or "log" (logistic regression), by Adam over the whole sample."""
     weight = np.ones(len(y)) if weight is None else weight
     weight = weight / weight.sum()
-    mean = np.bincount(x.places, weights=x.values, minlength=x.size) / max(1, len(y))
+    mean = x.gather(np.ones(len(y))) / max(1, len(y))
     scale = np.where(mean > 0, 1 / np.sqrt(mean + 1e-6), 0)  # rare n-grams get larger steps
-    norm = np.sqrt(np.bincount(np.repeat(np.arange(len(y)), np.diff(x.at)), weights=(x.values * scale[x.places]) ** 2, minlength=len(y)).mean())
+    squares = Sample([], x.size)
+    squares.at, squares.places, squares.values = x.at, x.places, x.values**2
+    norm = np.sqrt(squares.times(scale**2).mean()) if len(y) else 1.0
+    del squares
     scale = scale / max(norm, 1e-9)  # rows have about unit length
     values = Sample([], x.size)
-    values.at, values.places, values.values = x.at, x.places, (x.values * scale[x.places]).astype(np.float32)
+    values.at, values.places, values.values = x.at, x.places, x.values * scale.astype(np.float32)[x.places]
     w, b = np.zeros(x.size), 0.0
     m, v, mb, vb = np.zeros(x.size), np.zeros(x.size), 0.0, 0.0
-    lengths = np.diff(x.at)
     for t in range(1, rounds + 1):
         margin = y * (values.times(w) + b)
         slope = -y * weight * (2 * np.maximum(1 - margin, 0) if loss == "hinge" else 1 / (1 + np.exp(np.clip(margin, -50, 50))))
-        grad = np.bincount(values.places, weights=values.values * np.repeat(slope, lengths), minlength=x.size) + decay * w
+        grad = values.gather(slope) + decay * w
         gb = slope.sum()
         m, mb = 0.9 * m + 0.1 * grad, 0.9 * mb + 0.1 * gb
         v, vb = 0.99 * v + 0.01 * grad**2, 0.99 * vb + 0.01 * gb**2

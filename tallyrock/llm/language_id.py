@@ -125,7 +125,8 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageMo
     rows = sorted(chosen.mapInArrow(features, "doc_id long, lang string, places binary, values binary").collect(), key=lambda r: (r["doc_id"] or 0, r["places"]))
     lang = np.array([r["lang"] for r in rows], object)
     group = np.array([family(x) for x in lang], object)
-    sample = Sample([(bytes(r["places"]), bytes(r["values"])) for r in rows], size)
+    sample = Sample([(r["places"], r["values"]) for r in rows], size)
+    del rows
     weights, bias = [], []
     for level, a, b in pairs:
         names = group if level == "" else lang

@@ -105,7 +105,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     y = np.array([1.0 if r["good"] else -1.0 for r in rows])
     if len(set(y.tolist())) < 2:
         return nothing
-    sample = Sample([(bytes(r["places"]), bytes(r["values"])) for r in rows], size)
+    sample = Sample([(r["places"], r["values"]) for r in rows], size)
+    del rows
     weight = np.where(y > 0, counts[True] / max(1, (y > 0).sum()), counts[False] / max(1, (y < 0).sum()))
     fold = np.arange(len(y)) % 5
     if len(y) < 50 or len(set(y[fold == 0].tolist())) < 2:
