@@ -1,7 +1,9 @@
 """A training corpus from the documents table: STAGES in order, each over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``,
-with any further columns untouched; the last returns the packed pieces. Null or empty texts,
+with any further columns untouched; the last returns the packed pieces. The
+order in which a stage's rows are written counts: stage 4 sets it, and stage 5 numbers its
+sequences by it. Null or empty texts,
 empty tables, repeated rows and null ids are handled as each operator's docstring says."""
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from tallyrock.llm._shared import documents, saved
 from tallyrock.llm.line_dedup import dedup_lines
 from tallyrock.llm.mixing import mix
 from tallyrock.llm.near_dedup import near_duplicates
-from tallyrock.llm.packing import pack_documents
+from tallyrock.llm.packing import pack_stored
 from tallyrock.llm.quality import RULES, fit_quality, score_quality
 
 
@@ -45,10 +47,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, packed into sequences."""
+    """Pieces of at most 4096 tokens, packed into sequences that follow the mixed order."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_stored(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

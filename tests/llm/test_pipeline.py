@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallyrock.llm import packing
 from tallyrock.llm._shared import saved
 
 
@@ -30,3 +31,30 @@ def test_odd_rows(spark, sf, docs, empty):
         for name, stage in corpus_pipeline.STAGES:
             rows = saved(stage(spark, rows, sf), f"odd-{name}")
         assert (rows.count() > 0) == some
+
+
+def test_sequences_follow_the_weights(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW", 2)
+    sources = ["a"] * 2500 + ["b"] * 900 + ["c"] * 400  # square roots 50, 30, 20: c ends after 2,000 rows
+    rows = [(k, " ".join(["word"] * (20 + (k * 7) % 40 + 30 * (s == "a"))), "en", s, 0) for k, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = saved(stages["source_mixing"](spark, docs, sf), "test-mixed")
+    packed = stages["best_fit_packing"](spark, mixed, sf).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(len(rows)))
+    used, largest = {}, 0
+    for r in packed:
+        used.setdefault(r["sequence_id"], []).append(r)
+    assert sorted(used) == list(range(len(used)))
+    done = dict.fromkeys("abc", 0)
+    for k in range(len(used)):
+        own = sorted(used[k], key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == [sum(r["length"] for r in own[:i]) for i in range(len(own))]
+        assert sum(r["length"] for r in own) <= 4096
+        largest = max(largest, len(own))
+        for r in own:
+            done[sources[r["doc_id"]]] += 1
+        n = sum(done.values())
+        if n <= 1800:  # a block of 64 rows, and a window of two sequences
+            assert all(abs(done[s] - n * w) <= 64 + 2 * largest for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert len(used) <= 1.5 * sum(r["length"] for r in packed) / 4096 + 2  # at most one more in each window
