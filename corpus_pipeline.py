@@ -18,6 +18,9 @@ from tallyrock.llm.near_dedup import near_duplicates
 from tallyrock.llm.packing import pack_stored
 from tallyrock.llm.quality import RULES, fit_quality, score_quality
 
+#: Similarity in hundredths from which documents are near duplicates; 85 is the threshold of the op3 query alone.
+NEAR = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the word rules or the classifier go."""
@@ -36,8 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays."""
+    kept = near_duplicates(docs.select("doc_id", "text"), NEAR).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
 
 

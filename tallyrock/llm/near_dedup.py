@@ -20,22 +20,24 @@ from pyspark.sql import functions as F
 from ._shared import by_key, components, documents, saved, small_batches
 from ._text import LOWER, STEP, U64, Rolling, chunks, mix, shingles, utf8, words
 
-#: Bands times rows a band: at similarity 0.85 a pair shares no band once in 25,000 times.
-BANDS, ROWS = 32, 8
+#: Minima of a signature. The first BANDS * ROWS make the bands: at similarity 0.80 a pair shares no band
+#: three times in a million, at 0.85 three times in a thousand million.
+MINIMA = 256
+BANDS, ROWS = 42, 6
 #: Low bits that are kept of each minimum.
 BITS = 2
-#: Estimates this far below the wanted similarity still count as candidates: over 4 standard deviations.
-MARGIN = 0.12
+#: Estimates this far below the wanted similarity still count as candidates: over 4.5 standard deviations at 0.80.
+MARGIN = 0.14
 #: Members of a block of a bucket, and of a family.
 BUCKET_BLOCK, FAMILY_BLOCK = 2048, 256
 
-_seeds = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
+_seeds = np.random.default_rng(7).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint64).astype(np.uint32)
 _FACTOR, _SHIFT = (_seeds[0] | np.uint32(1))[:, None], _seeds[1][:, None]
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The MinHash signature of a set of 64-bit hashes."""
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     x = (hashes >> U64(32)).astype(np.uint32)
     for i in range(0, len(x), 1024):
         y = x[None, i : i + 1024] * _FACTOR
@@ -61,7 +63,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         for s in range(1, BITS):
             x |= (a[:, k, None] ^ b[None, :, k]) >> U64(s)
         unequal += np.bitwise_count(x & mask)
-    same, chance = 1 - unequal / (BANDS * ROWS), 2.0**-BITS
+    same, chance = 1 - unequal / MINIMA, 2.0**-BITS
     return (same - chance) / (1 - chance)
 
 
@@ -92,7 +94,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             full = np.array([len(s) for s in sets])
             signatures = np.stack([minima(s) for s in sets])
             with np.errstate(over="ignore"):
-                bands = mix((signatures.reshape(len(sets), BANDS, ROWS).astype(U64) * power).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+                bands = mix((signatures[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS).astype(U64) * power).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 keys = [np.array([mix(s ^ U64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (11, 23)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
             bits = pa.array([row.tobytes() for row in packed(signatures)], pa.binary())

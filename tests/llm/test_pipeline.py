@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyrock.llm import packing
+from tallyrock.llm import near_dedup, packing
 from tallyrock.llm._shared import saved
 
 
@@ -58,3 +58,17 @@ def test_sequences_follow_the_weights(spark, sf, monkeypatch):
         if n <= 1800:  # a block of 64 rows, and a window of two sequences
             assert all(abs(done[s] - n * w) <= 64 + 2 * largest for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
     assert len(used) <= 1.5 * sum(r["length"] for r in packed) / 4096 + 2  # at most one more in each window
+
+
+def test_near_dedup_from_eighty(spark, sf):
+    rows = []
+    for k in range(40):  # 100 shingles each, of which the second shares 90 and the third 87 with the first
+        words = [f"w{k}x{i}" for i in range(104)]
+        rows.append((3 * k, " ".join(words)))
+        rows.append((3 * k + 1, " ".join([*words[:94], *(f"new{k}x{i}" for i in range(10))])))  # 90 / 110 = 0.818
+        rows.append((3 * k + 2, " ".join([*(f"old{k}x{i}" for i in range(13)), *words[13:]])))  # 87 / 113 = 0.770
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()}
+    assert left == {3 * k + j for k in range(40) for j in (0, 2)}
+    assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 1e-5
+    assert near_dedup.near_duplicates(docs, 85).where("kept").count() == len(rows)
