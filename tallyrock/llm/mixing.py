@@ -2,13 +2,14 @@
 
 A source of weight w gets a block in each window from floor(i / w) to ceil((i + 1) / w); serving
 the released block with the earliest deadline keeps every source within one block of its share at
-all times. With whole-number weights the schedule repeats, so a row's place follows from its rank
-in its source; Spark ranks the rows, and the driver holds one period for each set of sources
-that still have rows."""
+all times. A row's place follows from its rank in its source; Spark ranks the rows, and the driver
+holds the slots of one period, or of all blocks where the weights do not repeat sooner, for each
+set of sources that still have rows."""
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,32 +21,45 @@ from ._shared import documents, running_totals
 
 #: Rows of a block.
 BLOCK = 64
-#: Weights are rounded to so many parts in all, with one part for each source at least.
-PARTS = 1000
+#: Weights that are not whole are rounded to so many parts in all, each by less than one: over
+#: a thousand million blocks, the rounding moves a source by a thousandth of a block.
+PARTS = 1 << 40
 
 
-def period(weights: list[int]) -> list[int]:
-    """The source of each slot of one period, by earliest deadline first among released blocks."""
+def period(weights: list[int], blocks: list[int] | None = None) -> list[int]:
+    """The source of each slot of one period, by earliest deadline first among released blocks.
+
+    With ``blocks`` it ends sooner, with the slot in which a source has had all its blocks."""
     total = sum(weights)
+    left = list(blocks) if blocks is not None else [w + 1 for w in weights]
     waiting = [(0, -(-total // w), s, 0) for s, w in enumerate(weights) if w]  # release, deadline, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
     out = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
+    while len(out) < total:
+        while waiting and waiting[0][0] <= len(out):
             _, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i))
         _, s, i = heapq.heappop(ready)
         out.append(s)
+        left[s] -= 1
+        if not left[s]:
+            break
         if i + 1 < weights[s]:
             heapq.heappush(waiting, ((i + 1) * total // weights[s], -(-(i + 2) * total // weights[s]), s, i + 1))
     return out
 
 
 def whole_weights(shares: list[float], parts: int = PARTS) -> list[int]:
-    """Shares as whole numbers of about ``parts`` in all, none below 1."""
-    total = sum(shares) or 1.0
-    return [max(1, round(x / total * parts)) for x in shares]
+    """Shares as whole numbers: themselves if they are whole, else of ``parts`` in all by largest remainder, none below 1."""
+    if all(x >= 1 and x == int(x) for x in shares) and sum(shares) <= parts:
+        return [int(x) for x in shares]
+    total = math.fsum(shares)
+    exact = [x / total * parts if total else 1.0 for x in shares]
+    out = [int(x) for x in exact]
+    for s in sorted(range(len(shares)), key=lambda s: out[s] - exact[s])[: max(0, parts - sum(out))]:
+        out[s] += 1
+    return [max(1, w) for w in out]
 
 
 class Schedule:
@@ -56,11 +70,12 @@ class Schedule:
         self.phases: list[tuple[list[int], int, int, dict[int, np.ndarray]]] = []
         done, base = [0] * len(blocks), 0
         while active := [s for s in range(len(blocks)) if done[s] < blocks[s]]:
-            turn = np.array(period([weights[s] for s in active]))
-            slots = {s: np.flatnonzero(turn == k) for k, s in enumerate(active)}
+            common = math.gcd(*(weights[s] for s in active))
+            turn = np.array(period([weights[s] // common for s in active], [blocks[s] - done[s] for s in active]))
+            slots = {s: own for k, s in enumerate(active) if len(own := np.flatnonzero(turn == k))}
             self.phases.append((list(done), base, len(turn), slots))
-            end = min(self._slot(s, blocks[s] - done[s] - 1, len(turn), slots[s]) for s in active) + 1
-            for s in active:
+            end = min(self._slot(s, blocks[s] - done[s] - 1, len(turn), slots[s]) for s in slots) + 1
+            for s in slots:
                 done[s] += end // len(turn) * len(slots[s]) + int(np.searchsorted(slots[s], end % len(turn)))
             base += end
 

@@ -90,6 +90,19 @@ def test_pfair_phases(sources):
     assert all((np.diff(plan.slots(s, np.arange(b))) > 0).all() for s, (_, b) in enumerate(sources))
 
 
+@pytest.mark.parametrize("shares", [[9.5**0.5, *[1.0] * 19], [2**0.5, 3**0.5, 5**0.5, 1e-4], [0.9997, 0.0003]])
+def test_exact_shares(shares):
+    blocks = [int(10_000 * x / sum(shares)) + 2 for x in shares]
+    plan = mixing.Schedule(mixing.whole_weights(shares), blocks)
+    turn = np.full(sum(blocks), -1)
+    for s, n in enumerate(blocks):
+        turn[plan.slots(s, np.arange(n))] = s
+    assert (turn >= 0).all()
+    at = np.arange(1, 9_900)  # all sources have blocks left
+    for s, x in enumerate(shares):
+        assert (np.abs(np.cumsum(turn[: len(at)] == s) - x / sum(shares) * at) < 1).all()
+
+
 @given(st.lists(st.integers(1, 64), max_size=200))
 @settings(max_examples=80, deadline=None)
 def test_packing_plan(lengths):
