@@ -3,7 +3,7 @@
 Both vocabularies cut a text into runs of letters, digits or other signs before they merge
 inside each run, so the ids of a text are those of its runs, one after the other. In texts of
 Latin letters the runs are found with numpy and looked up in a bounded table of each worker;
-any other text goes to the tokenizer as it is."""
+any other text, and any that holds the literal of an added token, goes to the tokenizer as it is."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values())
         self.style, self.kinds = style, _kinds()
         self.small = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(KNOWN)], np.uint32)
         self._forget()
@@ -108,6 +108,7 @@ class Encoder:
                 twice[1:] = (space[1:] & space[:-1]).astype(bool)
                 bad[1:] = np.cumsum(twice)
             plain &= bad[starts[1:]] == bad[np.minimum(starts[:-1] + 1, len(points))]
+        plain[self._holders(text, starts)] = False
         result: list[np.ndarray | None] = [None] * n
         rest = np.flatnonzero(~plain)
         if len(rest):
@@ -117,6 +118,19 @@ class Encoder:
             self._runs(text, points, kinds, starts, plain, result)
         return [np.zeros(0, np.uint32) if r is None else r for r in result]
 
+    def _holders(self, text: str, starts: np.ndarray) -> list[int]:
+        """The texts in which an added token begins; a find that runs over a text's end does no harm."""
+        found = []
+        for token in self.added:
+            literal, inside = token.content, text
+            if token.normalized:  # compared after the normalizer, which leaves the length of plain texts
+                literal, inside = literal.lower(), "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+            at = inside.find(literal)
+            while at >= 0:
+                found.append(int(np.searchsorted(starts, at, "right")) - 1)
+                at = inside.find(literal, at + 1)
+        return found
+
     def _runs(self, text: str, points: np.ndarray, kinds: np.ndarray, starts: np.ndarray, plain: np.ndarray, result: list) -> None:
         lengths = np.diff(starts)
         use = np.repeat(plain, lengths)

@@ -50,6 +50,17 @@ def test_encoder(name, style):
     assert [x.tolist() for x in encode(pa.array(texts))] == want
 
 
+@pytest.mark.parametrize("name,style", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
+def test_added_tokens(name, style):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|startoftext|>a", "a<|endoftext|>", "<|ENDOFTEXT|>", "x <|endof", "text|> <|endoftext|><|endoftext|>", "", "plain", "é <|endoftext|> 日本", None]
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in Encoder(public_tokenizers.path(name), style)(pa.array(texts))] == want
+    assert any({50256, 49407} & set(ids) for ids in want)
+
+
 @given(st.lists(st.integers(0, 3000), max_size=900))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano(steps):
