@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,9 +17,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Only where the session names none (as in tests) is one below /tmp set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    A session that names none gets one of its own where everything runs on this machine (as in
+    tests); on a cluster it is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -27,10 +32,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
 
 
-#: Rows of an Arrow batch of texts; a batch is held by the JVM and by Python at the same time.
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Columns of ``keyed``.
+ROW = ["_row_file", "_row_at"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, ``ROW``: a hash of the file's path, and the row's number in it.
+
+    It is the same each time the table is read, whatever doc_ids repeat or are null. A table that
+    does not come straight from Parquet files is written to the shared folder for it."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = saved(docs, "keyed")
+    meta = docs.metadataColumn("_metadata")
+    return docs.withColumns({ROW[0]: F.xxhash64(meta["file_path"]), ROW[1]: meta["row_index"]})
+
+
+#: Rows of an Arrow batch of texts, which Spark also keeps to spark.sql.execution.arrow.maxBytesPerBatch;
+#: a batch is held by the JVM and by Python at the same time.
 BATCH_ROWS = 1000
 
 
@@ -100,23 +130,27 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     ends in a table in the shared folder."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     seen = None
+    if now.isEmpty():
+        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the joins have two plain exchanges and Spark can split a hub's edges
         least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
         large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
+        forget(now, least)
         least = saved(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         met = large.join(least, "u")
         small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = saved(small, name)
+        forget(large, least)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         seen = state
 
 
-def by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Cut a stream that is sorted by ``key`` into tables of whole groups, of about ``rows`` rows."""
+def by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: int = 1 << 62) -> Iterator[pa.Table]:
+    """Cut a stream that is sorted by ``key`` into tables of whole groups, of about ``rows`` rows or ``size`` bytes."""
     held: list[pa.RecordBatch] = []
     count = 0
     for batch in batches:
@@ -124,7 +158,7 @@ def by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[p
             continue
         held.append(batch)
         count += batch.num_rows
-        if count < rows:
+        if count < rows and sum(b.nbytes for b in held) < size:
             continue
         table = pa.Table.from_batches(held)
         keys = table.column(key).to_numpy()

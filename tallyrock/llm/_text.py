@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -62,17 +63,58 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+#: Ranges of more bytes are hashed and compared one by one.
+LONG = 256
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place, as one number; beyond the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of byte ranges, mixed 8 bytes at a time; of up to 8 bytes, different ranges of one size never collide."""
+    size, lanes = end - start, _lanes(data)
+    out = mix(lanes[start] & _LOW[np.minimum(size, 8)]) + mix(size.astype(U64) + BASE)
+    more, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        lane = lanes[start[more] + k] & _LOW[np.minimum(size[more] - k, 8)]
+        out[more] = mix(out[more] * BASE + lane)
+        k += 8
+        more = more[size[more] > k]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return mix(out)
+
+
+def equal(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes of ``a`` from i on are those of ``b`` from j on."""
+    one, other = _lanes(a), _lanes(b)
+    same = np.ones(len(size), bool)
+    more, k = np.flatnonzero(size <= LONG), 0
+    while len(more):
+        apart = (one[i[more] + k] ^ other[j[more] + k]) & _LOW[np.minimum(size[more] - k, 8)]
+        same[more] &= apart == 0
+        k += 8
+        more = more[size[more] > k]
+    for x in np.flatnonzero(size > LONG).tolist():
+        same[x] = np.array_equal(a[i[x] : i[x] + size[x]], b[j[x] : j[x] + size[x]])
+    return same
+
+
 class Rolling:
-    """Hashes of any byte ranges in constant time each, by sums of byte values times powers."""
+    """Hashes of byte windows, by sums of byte values times powers. Modulo 2**64 patterned strings can
+    collide: these hashes choose and pre-sort, and what they bring together is compared by its bytes."""
 
     def __init__(self, data: np.ndarray):
         self.powers, self.inverse = _grow(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(BYTE_VALUES[data] * self.powers[: len(data)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
-
     def windows(self, k: int) -> np.ndarray:
         """Of the k bytes from each place."""
         n = len(self.sums) - k
@@ -100,7 +142,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 STEP = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
-def shingles(hashes: np.ndarray, places: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles(word_hashes: np.ndarray, places: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside each text, and their n + 1 places. A text of
     fewer words has its whole sequence as one run; without words it has none."""
     counts = np.diff(places)
@@ -109,8 +151,9 @@ def shingles(hashes: np.ndarray, places: np.ndarray, size: int = 5) -> tuple[np.
     doc = np.repeat(np.arange(len(counts)), got)
     start = places[:-1][doc] + np.arange(len(doc)) - at[:-1][doc]
     width = np.minimum(counts, size)[doc]
-    total = width.astype(U64)
+    total = mix(width.astype(U64) + BASE)
     for j in range(size):
         inside = width > j
-        total += np.where(inside, hashes[np.minimum(start + j, len(hashes) - 1)] * STEP[j], U64(0)) if len(hashes) else U64(0)
-    return mix(total), at
+        if len(word_hashes):
+            total = np.where(inside, mix(total * BASE + word_hashes[np.minimum(start + j, len(word_hashes) - 1)]), total)
+    return total, at

@@ -2,8 +2,8 @@
 
 Both vocabularies cut a text into runs of letters, digits or other signs before they merge
 inside each run, so the ids of a text are those of its runs, one after the other. In texts of
-Latin letters the runs are found with numpy and looked up in a bounded table of each worker;
-any other text, and any that holds the literal of an added token, goes to the tokenizer as it is."""
+Latin letters the runs are found with numpy and looked up, by a hash and then by all their bytes,
+in a bounded table of each worker; any other text, and any that holds the literal of an added token, goes to the tokenizer as it is."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from ._text import U64, Rolling, chunks, utf8
+from ._text import U64, chunks, equal, hashes, utf8
 
-#: Runs that a worker remembers at most; beyond it the table begins anew. About 40 bytes each.
+#: Runs that a worker remembers at most; beyond it the table begins anew. About 70 bytes each.
 REMEMBERED = 1_000_000
 #: Code points that the fast way knows: below it every text is in normal form C.
 KNOWN = 0x250
@@ -35,6 +35,18 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+def _append(ends: np.ndarray, flat: np.ndarray, known: int, sizes: list[int], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Add lists of ``sizes``, given end to end, behind the ``known`` ones; the arrays double as they fill."""
+    at = int(ends[known])
+    while known + len(sizes) + 1 > len(ends):
+        ends = np.concatenate([ends, np.zeros_like(ends)])
+    while at + len(values) > len(flat):
+        flat = np.concatenate([flat, np.zeros_like(flat)])
+    ends[known + 1 : known + len(sizes) + 1] = at + np.cumsum(sizes)
+    flat[at : at + len(values)] = values
+    return ends, flat
+
+
 class Encoder:
     """ids(texts) by a tokenizers file; ``style`` is "byte" (white space kept) or "word" (dropped, small letters)."""
 
@@ -56,6 +68,7 @@ class Encoder:
         self.slots = np.zeros(0, np.int32)  # where each run's ids lie: flat[ends[slot] : ends[slot + 1]]
         self.ends = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.raw_ends, self.raw = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint8)  # the runs themselves, likewise
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of keys among the known ones, and whether they are there."""
@@ -64,17 +77,11 @@ class Encoder:
         there[there] = self.keys[at[there]] == keys[there]
         return at, there
 
-    def _learn(self, keys: np.ndarray, runs: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, runs: list[str], raw: list[np.ndarray]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         known = len(self.keys)
-        at, total = int(self.ends[known]), int(sizes.sum())
-        while known + len(ids) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while at + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.ends[known + 1 : known + len(ids) + 1] = at + np.cumsum(sizes)
-        self.flat[at : at + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.ends, self.flat = _append(self.ends, self.flat, known, [len(i) for i in ids], np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.raw_ends, self.raw = _append(self.raw_ends, self.raw, known, [len(r) for r in raw], np.concatenate(raw))
         places = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, places, keys)
         self.slots = np.insert(self.slots, places, np.arange(known, known + len(ids), dtype=np.int32))
@@ -151,7 +158,8 @@ class Encoder:
         good = use[first] if self.style == "byte" else use[first] & (kinds[first] != 3)
         first, last = first[good], last[good]
         wide = points.astype(np.uint16).view(np.uint8)  # all known points have two bytes
-        keys = Rolling(wide).ranges(first * 2, last * 2)
+        first, size = first * 2, (last - first) * 2
+        keys = hashes(wide, first, first + size)
         unique, at, back = np.unique(keys, return_index=True, return_inverse=True)
         _, there = self._find(unique)
         if len(self.keys) + int((~there).sum()) > REMEMBERED:
@@ -160,15 +168,25 @@ class Encoder:
         fresh = np.flatnonzero(~there)
         for lo in range(0, len(fresh), 20_000):
             some = fresh[lo : lo + 20_000]
-            self._learn(unique[some], [text[i:j] for i, j in zip(first[at[some]].tolist(), last[at[some]].tolist(), strict=True)])
-        slot = self.slots[self._find(unique)[0]][back]
+            bounds = list(zip(first[at[some]].tolist(), size[at[some]].tolist(), strict=True))
+            self._learn(unique[some], [text[i // 2 : (i + n) // 2] for i, n in bounds], [wide[i : i + n] for i, n in bounds])
+        known = self.slots[self._find(unique)[0]]
+        slot = known[back]
+        # of two runs with one hash, only the one that was learnt may take its ids
+        sure = self.raw_ends[slot + 1] - self.raw_ends[slot] == size
+        sure[sure] = equal(wide, first[sure], self.raw, self.raw_ends[slot[sure]], size[sure])
         begin = self.ends[slot]
         size = self.ends[slot + 1] - begin
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        places = total[np.searchsorted(first, starts)]
+        places = np.searchsorted(first, 2 * starts)
+        doubt = np.concatenate([[0], np.cumsum(~sure)])[places]
+        places = total[places]
         for d in np.flatnonzero(plain):
-            result[d] = ids[places[d] : places[d + 1]]
+            if doubt[d] == doubt[d + 1]:
+                result[d] = ids[places[d] : places[d + 1]]
+            else:
+                result[d] = self._whole([text[starts[d] : starts[d + 1]]])[0]
 
 
 @cache

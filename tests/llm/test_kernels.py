@@ -30,7 +30,7 @@ def test_words(texts):
 def test_shingles(texts):
     data, offsets = _text.utf8(pa.array(texts, pa.string()))
     starts, ends, places = _text.words(data, offsets)
-    runs, at = _text.shingles(_text.Rolling(data).ranges(starts, ends), places)
+    runs, at = _text.shingles(_text.hashes(data, starts, ends), places)
     seen = {}
     for t, a, b in zip(texts, at, at[1:], strict=False):
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
