@@ -10,6 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._text import STEP, U64, mix
 
@@ -40,28 +43,53 @@ def grams(values: np.ndarray, places: np.ndarray, n: int, bits: int, salt: int)
     return h, at
 
 
-def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each text's values (columns are summed apart)."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    return total[at[1:]] - total[at[:-1]]
-
-
 @dataclass
 class Model:
-    """Weights (features x models) over all groups, end to end, and biases."""
+    """Weights (models x features) over all groups, end to end, and biases."""
 
     weights: np.ndarray
     bias: np.ndarray
 
     def margins(self, groups: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
-        n = len(groups[0][1]) - 1
-        out = np.tile(self.bias, (n, 1)).astype(np.float64)
+        """Texts x models. The models are taken one after the other: beside the n-grams' places, memory
+        holds the weights of one of them."""
+        out = np.tile(self.bias, (len(groups[0][1]) - 1, 1)).astype(np.float64)
         for g, (h, at) in enumerate(groups):
-            table = self.weights[g << bits : (g + 1) << bits]
-            out += sums(table[h], at) / np.maximum(np.diff(at), 1)[:, None]
+            some = np.flatnonzero(np.diff(at))
+            if not len(some):
+                continue
+            first, count = at[some], np.diff(at)[some]
+            for m, row in enumerate(self.weights):
+                table = row[g << bits : (g + 1) << bits]
+                out[some, m] += np.add.reduceat(table[h], first, dtype=np.float64) / count
         return out
 
 
+def of_rows(groups: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of some texts (ascending) alone."""
+    if len(rows) == len(groups[0][1]) - 1:
+        return groups
+    out = []
+    for h, at in groups:
+        lengths = np.diff(at)[rows]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        out.append((h[np.repeat(at[:-1][rows] - ends[:-1], lengths) + np.arange(ends[-1])], ends))
+    return out
+
+
+def sampled(rows: DataFrame, label: str, counts: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each label (``counts``: rows of each), whatever the table's size.
+
+    Taken are the doc_ids with the least hashes, each once (of rows that repeat it, the least). A
+    first cut by the hash alone leaves somewhat more than that to sort."""
+    hashed, span = F.xxhash64("doc_id"), 1 << 62
+    cut = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(span, int(span * (1.2 * most + 50) / n))))), F.col(label))
+    rest = [c for c in rows.columns if c not in ("doc_id", label)]
+    near = rows.where(F.pmod(hashed, F.lit(span)) < cut).groupBy("doc_id").agg(F.min(F.struct(label, *rest)).alias("_row")).select("doc_id", "_row.*")
+    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most).drop("_place")
+
+
 def sparse_rows(groups: list[tuple[np.ndarray, np.ndarray]], bits: int) -> list[tuple[bytes, bytes]]:
     """Each text's features as (places int32, values float32) bytes."""
     out = []

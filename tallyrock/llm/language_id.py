@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._linear import POINT, Model, Sample, binary, code_points, fit, grams, sparse_rows
+from ._linear import POINT, Model, Sample, binary, code_points, fit, grams, of_rows, sampled, sparse_rows
 from ._shared import documents, small_batches
 from ._text import chunks, utf8
 
@@ -63,34 +63,36 @@ def _groups(column: pa.Array) -> Iterator[tuple[list, np.ndarray]]:
 
 @dataclass
 class LanguageModel:
-    """One linear model for each pair of families, then for each pair of languages in a family."""
+    """One linear model for each pair of families, and in each family one for each pair of its languages."""
 
     families: list[str]
     languages: dict[str, list[str]]
-    pairs: list[tuple[str, str, str]]  # level ("" or a family), first, second
-    model: Model
+    duels: dict[str, tuple[list[tuple[str, str]], Model]]  # by level: "" for the families, or a family
 
     def predict(self, groups: list, has_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
-        n = len(has_letter)
-        margins = self.model.margins(groups, BITS) if self.pairs else np.zeros((n, 0))
-        chosen, score = self._winner("", self.families, margins)
-        langs = np.full(n, "und", object)
+        """A text meets the duels of the families, then those of its family alone."""
+        langs, score = np.full(len(has_letter), "und", object), np.zeros(len(has_letter))
+        rows = np.flatnonzero(has_letter)
+        if not len(rows) or not self.families:
+            return langs.tolist(), score
+        groups = of_rows(groups, rows)
+        chosen, score[rows] = self._winner("", self.families, groups)
         for k, f in enumerate(self.families):
-            rows = has_letter & (chosen == k)
-            winner, own = self._winner(f, self.languages[f], margins[rows])
-            langs[rows] = np.array(self.languages[f], object)[winner]
-            score[rows] *= own
-        score[~has_letter | (langs == "und")] = 0
+            own = np.flatnonzero(chosen == k)
+            if len(own):
+                winner, sure = self._winner(f, self.languages[f], of_rows(groups, own))
+                langs[rows[own]] = np.array(self.languages[f], object)[winner]
+                score[rows[own]] *= sure
         return langs.tolist(), score
 
-    def _winner(self, level: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _winner(self, level: str, names: list[str], groups: list) -> tuple[np.ndarray, np.ndarray]:
         """Most won duels, ties by the sum of margins; the score is the least sure of the winner's duels."""
-        n = len(margins)
-        if not names:
-            return np.zeros(n, int), np.zeros(n)
+        n = len(groups[0][1]) - 1
         votes, least = np.zeros((n, len(names))), np.full((n, len(names)), 50.0)
-        for k, (where, a, b) in enumerate(self.pairs):
-            if where == level:
+        if level in self.duels:
+            pairs, model = self.duels[level]
+            margins = model.margins(groups, BITS)
+            for k, (a, b) in enumerate(pairs):
                 for name, m in ((a, margins[:, k]), (b, -margins[:, k])):
                     c = names.index(name)
                     votes[:, c] += (m > 0) + 1e-3 * np.tanh(m)
@@ -98,23 +100,29 @@ class LanguageModel:
         won = votes.argmax(axis=1)
         return won, 1 / (1 + np.exp(-np.clip(2 * least[np.arange(n), won], -50, 50)))
 
+    @property
+    def pairs(self) -> list[tuple[str, str, str]]:
+        """Level, first and second of every duel."""
+        return [(level, a, b) for level, (pairs, _) in self.duels.items() for a, b in pairs]
+
 
 def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from ``docs`` (doc_id, text, lang): at most about ``sample_rows`` of each language.
+    """Learn from ``docs`` (doc_id, text, lang): at most ``sample_rows`` of each language.
 
-    Rows with a null text or lang are not used. The number of languages is taken to be small."""
+    Rows with a null doc_id, text or lang are not used; of rows that repeat a doc_id, one is. The
+    number of languages is taken to be small (the model has 256 KB for each duel)."""
     small_batches(docs.sparkSession)
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages: dict[str, list[str]] = {}
     for lang in sorted(counts):
         languages.setdefault(family(lang), []).append(lang)
     families, size = sorted(languages), 4 << BITS
-    pairs = [("", a, b) for a, b in combinations(families, 2)] + [(f, a, b) for f in families for a, b in combinations(languages[f], 2)]
-    if not pairs:
-        return LanguageModel(families, languages, [], Model(np.zeros((size, 0), np.float32), np.zeros(0)))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang in counts for x in (lang, sample_rows / counts[lang]))), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "lang", "text")
+    levels = {"": families} | languages
+    levels = {level: list(combinations(names, 2)) for level, names in levels.items() if len(names) > 1}
+    if not levels:
+        return LanguageModel(families, languages, {})
+    chosen = sampled(known.select("doc_id", "lang", "text"), "lang", counts, sample_rows)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,19 +135,16 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageMo
     group = np.array([family(x) for x in lang], object)
     sample = Sample([(r["places"], r["values"]) for r in rows], size)
     del rows
-    weights, bias = [], []
-    for level, a, b in pairs:
-        names = group if level == "" else lang
-        some = np.flatnonzero((names == a) | (names == b))
-        y = np.where(names[some] == a, 1.0, -1.0)
-        if not len(some):
-            w, c = np.zeros(size), 0.0
-        else:
+    duels = {}
+    for level, pairs in levels.items():
+        names, fitted = group if level == "" else lang, []
+        for a, b in pairs:
+            some = np.flatnonzero((names == a) | (names == b))
+            y = np.where(names[some] == a, 1.0, -1.0)
             weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum()))
-            w, c = fit(sample.rows(some), y, "hinge", weight, rounds=40)
-        weights.append(w.astype(np.float32))
-        bias.append(c)
-    return LanguageModel(families, languages, pairs, Model(np.stack(weights, axis=1), np.array(bias)))
+            fitted.append(fit(sample.rows(some), y, "hinge", weight, rounds=40) if len(some) else (np.zeros(size), 0.0))
+        duels[level] = pairs, Model(np.stack([w.astype(np.float32) for w, _ in fitted]), np.array([b for _, b in fitted]))
+    return LanguageModel(families, languages, duels)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
