@@ -5,6 +5,7 @@ and file statistics prune on any of the dimensions."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,21 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def ordinal(name: str, kind: T.DataType) -> Column:
-    """A number that keeps the column's order: itself, or a string's first six bytes. Null is the least."""
-    if isinstance(kind, T.StringType):
-        number = F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    else:
+def cells(rows: DataFrame, name: str, kind: T.DataType, total: int) -> Column:
+    """The column quantised to ``2**BITS`` cells of about equally many rows, in the column's order; null is in the first.
+
+    Numbers are cut at approximate quantiles. Strings are compared whole: their values are counted
+    and ranked in Spark, and the driver gets the least value of each cell."""
+    many = 1 << BITS
+    if not isinstance(kind, T.StringType):
         number = F.col(name).cast("double")
-    return F.coalesce(number, F.lit(float("-inf")))
+        edges = rows.agg(F.percentile_approx(number, [i / many for i in range(1, many)], 100_000).alias("e")).first()["e"] or []
+        found = [F.when(number >= e, 1).otherwise(0) for e in edges]
+        return reduce(lambda x, y: x + y, found, F.lit(0))
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running_totals(counts, [name], {"_before": "_n"}, "sharding-values")  # nulls come first
+    lows = ranked.where(F.col(name).isNotNull()).groupBy(F.expr(f"_before * {many} div {max(1, total)}").alias("cell")).agg(F.min(name).alias("low"))
+    return F.greatest(F.lit(0), *(F.when(F.col(name) >= F.lit(r["low"]), int(r["cell"])) for r in lows.collect()), F.lit(0))  # one row a cell
 
 
 def shard(rows: DataFrame, dimensions: list[str], size: str, key: str = "doc_id", shards: int = SHARDS, law: str = "rows") -> DataFrame:
@@ -67,23 +76,20 @@ def shard(rows: DataFrame, dimensions: list[str], size: str, key: str = "doc_id"
     most at each end. Slots run from 0 in each shard without gaps, along the curve, ties by
     ``key``. Rows are cut by count or size alone, so copies and hot values spread over shards."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
-    numbers = {f"_d{k}": ordinal(c, kinds[c]) for k, c in enumerate(dimensions)}
-    cuts = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    edges = rows.select(*(v.alias(k) for k, v in numbers.items())).agg(*(F.percentile_approx(k, cuts, 100_000).alias(k) for k in numbers)).first()
-    bounds = [np.array(edges[k] or [], float) for k in numbers]
-    fields = rows.schema.fields
+    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    n, volume = max(1, total["rows"]), max(1, total["bytes"])
+    quantised = {f"_d{k}": cells(rows, c, kinds[c], n) for k, c in enumerate(dimensions)}
+    fields, names = rows.schema.fields, list(quantised)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cells = np.stack([np.searchsorted(b, batch.column(f"_d{k}").to_numpy(), "right") for k, b in enumerate(bounds)], axis=1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(hilbert(cells, BITS))], names=[*(f.name for f in fields), "curve"])
+                box = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(hilbert(box, BITS))], names=[*(f.name for f in fields), "curve"])
 
     schema = T.StructType([*fields, T.StructField("curve", T.LongType())])
-    curved = rows.withColumns(numbers).mapInArrow(place, schema).withColumn("_one", F.lit(1))
+    curved = rows.withColumns(quantised).mapInArrow(place, schema).withColumn("_one", F.lit(1))
     ranked = running_totals(curved, ["curve", key], {"_rank": "_one", "_before": size}, "sharding-ranks")
-    total = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    n, volume = max(1, total["rows"]), max(1, total["bytes"])
     if law == "rows":
         cut = F.expr(f"_rank * {shards} div {n}")
         first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")
@@ -102,7 +108,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows") ->
     """doc_id, size (UTF-8 bytes and 1; null text: none and 1), text_crc32, law, shard, slot of all documents.
 
     The dimensions are source, lang, size and doc_id; a null is the least value of its dimension.
-    Repeated rows are placed one by one; an empty table stays empty."""
+    Only narrow rows are sorted, so a very long text weighs no more than another. Repeated rows and
+    ties are placed one by one, in any order among themselves; an empty table stays empty. Other
+    columns are not returned, whatever their names."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     rows = docs.select("doc_id", "source", "lang", size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"))
     placed = shard(rows, ["source", "lang", "size", "doc_id"], "size", shards=shards, law=law)
