@@ -2,9 +2,9 @@
 
 A source of weight w gets a block in each window from floor(i / w) to ceil((i + 1) / w); serving
 the released block with the earliest deadline keeps every source within one block of its share at
-all times. A row's place follows from its rank in its source; Spark ranks the rows, and the driver
-holds the slots of one period, or of all blocks where the weights do not repeat sooner, for each
-set of sources that still have rows."""
+all times. A row's place follows from its rank in its source; Spark ranks the rows. The driver
+holds the slots, which are about ``SLOTS`` at most whatever the number of rows: a block has
+as many rows as that takes."""
 
 from __future__ import annotations
 
@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, running_totals
+from ._shared import ROW, documents, keyed, running_totals
 
-#: Rows of a block.
-BLOCK = 64
+#: Slots of a schedule at most (besides one more for each source); 8 bytes each.
+SLOTS = 1 << 20
 #: Weights that are not whole are rounded to so many parts in all, each by less than one: over
 #: a thousand million blocks, the rounding moves a source by a thousandth of a block.
 PARTS = 1 << 40
@@ -51,28 +51,29 @@ def period(weights: list[int], blocks: list[int] | None = None) -> list[int]:
 
 
 def whole_weights(shares: list[float], parts: int = PARTS) -> list[int]:
-    """Shares as whole numbers: themselves if they are whole, else of ``parts`` in all by largest remainder, none below 1."""
-    if all(x >= 1 and x == int(x) for x in shares) and sum(shares) <= parts:
+    """Shares as whole numbers: themselves if they are whole, else of ``parts`` in all by largest remainder, none that is not 0 below 1."""
+    if all(x == int(x) for x in shares) and sum(shares) <= parts:
         return [int(x) for x in shares]
     total = math.fsum(shares)
     exact = [x / total * parts if total else 1.0 for x in shares]
     out = [int(x) for x in exact]
     for s in sorted(range(len(shares)), key=lambda s: out[s] - exact[s])[: max(0, parts - sum(out))]:
         out[s] += 1
-    return [max(1, w) for w in out]
+    return [max(1, w) if x > 0 else 0 for w, x in zip(out, shares, strict=True)]
 
 
 class Schedule:
     """Slots of all blocks, in phases; a phase ends with the block that empties a source, and the
-    sources that remain go on by their weights alone."""
+    sources that remain go on by their weights alone. Sources of weight 0 come, in equal parts, after all others."""
 
     def __init__(self, weights: list[int], blocks: list[int]):
         self.phases: list[tuple[list[int], int, int, dict[int, np.ndarray]]] = []
         done, base = [0] * len(blocks), 0
         while active := [s for s in range(len(blocks)) if done[s] < blocks[s]]:
-            common = math.gcd(*(weights[s] for s in active))
-            turn = np.array(period([weights[s] // common for s in active], [blocks[s] - done[s] for s in active]))
-            slots = {s: own for k, s in enumerate(active) if len(own := np.flatnonzero(turn == k))}
+            own = {s: weights[s] for s in active if weights[s]} or dict.fromkeys(active, 1)
+            active, common = list(own), math.gcd(*own.values())
+            turn = np.array(period([own[s] // common for s in active], [blocks[s] - done[s] for s in active]))
+            slots = {s: at for k, s in enumerate(active) if len(at := np.flatnonzero(turn == k))}
             self.phases.append((list(done), base, len(turn), slots))
             end = min(self._slot(s, blocks[s] - done[s] - 1, len(turn), slots[s]) for s in slots) + 1
             for s in slots:
@@ -94,15 +95,20 @@ class Schedule:
         return out
 
 
-def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
+def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None, key: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, slot and position (from 0, without gaps) of every row of ``docs``.
 
     ``weights``: target share of each source, by default the square root of its rows; a source
     that is not listed gets the least listed share. Blocks are ``block`` rows of a source in
-    doc_id order (its last may be shorter). While the same sources have rows left, each has had
+    doc_id order (its last may be shorter); by default as many as make ``SLOTS`` slots of the
+    table. While the same sources have rows left, each has had
     less than one block more or fewer than its share at any time. Every row is placed once: when
-    a source ends, the rest go on. A null source is a source of its own; repeated rows are placed
-    one by one. The number of sources is taken to be small (one row of each comes to the driver)."""
+    a source ends, the rest go on. A null source is a source of its own, and null doc_ids come
+    first in theirs; repeated rows are placed one by one, in any order among themselves. Texts are
+    not read, however long. An empty table has no positions. Other columns are not returned but
+    for those of ``key``, long columns that break ties of doc_id. The number of sources is taken
+    to be small (one row of each comes to the driver)."""
+    key = key or []
     counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
     names = sorted(counts, key=lambda s: (s is not None, (s or "").encode()))  # Spark's order
     if weights is None:
@@ -110,6 +116,7 @@ def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = Non
     else:
         least = min(weights.values(), default=1.0)
         shares = [weights.get(s, least) for s in names]
+    block = block or max(1, -(-sum(counts.values()) // SLOTS))
     plan = Schedule(whole_weights(shares), [-(-counts[s] // block) for s in names])
     first = dict(zip(names, np.cumsum([0, *(counts[s] for s in names)]).tolist(), strict=False))
     index = {s: k for k, s in enumerate(names)}
@@ -131,25 +138,22 @@ def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = Non
                 own[rows] = rank[rows] - first[names[k]]
                 slot[rows] = plan.slots(k, own[rows] // block)
             position = slot * block + own % block - missing[np.searchsorted(short_at, slot, "left")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sources, *map(pa.array, (own // block, slot, position))], names=["doc_id", "source", "block", "slot", "position"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sources, *map(pa.array, (own // block, slot, position)), *(batch.column(k) for k in key)], names=["doc_id", "source", "block", "slot", "position", *key])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.lit(1).alias("_one"))
-    ranked = running_totals(rows, ["source", "doc_id"], {"_rank": "_one"}, "mixing-ranks").select("doc_id", "source", "_rank")
-    return ranked.mapInArrow(place, "doc_id long, source string, block long, slot long, position long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *key, F.lit(1).alias("_one"))
+    ranked = running_totals(rows, ["source", "doc_id", *key], {"_rank": "_one"}, "mixing-ranks").select("doc_id", "source", *key, "_rank")
+    return ranked.mapInArrow(place, "doc_id long, source string, block long, slot long, position long" + "".join(f", {k} long" for k in key))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """All rows and columns of ``docs`` in mixed order: partitions and rows follow the position.
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` in mixed order: partitions and rows follow the position of ``mix_positions``.
 
-    Rows that repeat a doc_id get their positions in any order among themselves."""
-    from pyspark.sql.window import Window
-
-    placed = mix_positions(docs, weights, block).groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("_positions")).withColumnRenamed("doc_id", "_id")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    numbered = docs.withColumn("_copy", copy)
-    joined = numbered.join(placed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).withColumn("_position", F.get("_positions", F.col("_copy") - 1))
+    Texts move twice, to their position and in its order. Rows are told apart by where they are
+    stored, so repeated and null doc_ids are rows like others."""
+    rows = keyed(docs)
+    placed = mix_positions(rows, weights, block, ROW).select(*ROW, F.col("position").alias("_position"))
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(many, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    return rows.join(placed, ROW).repartitionByRange(many, "_position").sortWithinPartitions("_position").select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
