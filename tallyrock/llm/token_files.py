@@ -24,6 +24,8 @@ from ._shared import documents, running_totals, saved, shared_dir, small_batches
 
 MAGIC = b"TRKIDS01"
 SAMPLE = 256
+#: Documents whose offsets are taken from a file at a time.
+READ = 4096
 #: A file ends with the document that brings it to so many ids.
 FILE_IDS = 16 << 20
 
@@ -62,6 +64,24 @@ class EliasFano:
         few = np.unpackbits(self.low[first >> 3 : ((first + self.low_bits) >> 3) + 1], bitorder="little")[first & 7 :][: self.low_bits]
         return (place - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(few))
 
+    def span(self, i: int, j: int) -> np.ndarray:
+        """The values from i to before j, by the sampled place before i and that behind j: nothing outside is read."""
+        if i >= j:
+            return np.zeros(0, np.int64)
+        first = i // SAMPLE
+        begin = int(self.samples[first]) >> 3
+        last = -(-j // SAMPLE)
+        stop = (int(self.samples[last]) >> 3) + 1 if last < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[begin:stop], bitorder="little")) + (begin << 3)
+        skip = int(np.searchsorted(places, int(self.samples[first]))) + i - first * SAMPLE
+        places = places[skip : skip + j - i]
+        low = np.zeros(j - i, np.int64)
+        if self.low_bits:
+            at = i * self.low_bits
+            bits = np.unpackbits(self.low[at >> 3 : ((j * self.low_bits) >> 3) + 1], bitorder="little")[at & 7 :][: (j - i) * self.low_bits]
+            low = (bits.reshape(j - i, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return ((places - np.arange(i, j)) << self.low_bits) | low
+
     def decode(self) -> np.ndarray:
         places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
@@ -97,8 +117,15 @@ class TokenFile:
         self.ends = EliasFano.parse(self.footer["docs"], self.footer["end_bits"], parts[:3])
         self.keys = EliasFano.parse(self.footer["docs"] - self.footer["nulls"], self.footer["key_bits"], parts[3:])
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.footer["nulls"] + [k + self.footer["first"] for k in self.keys.decode().tolist()]
+    def doc_ids(self, i: int = 0, j: int | None = None) -> list[int | None]:
+        """Of the documents from i to before j."""
+        nulls, j = self.footer["nulls"], self.footer["docs"] if j is None else j
+        empty = max(0, min(j, nulls) - i)
+        return [None] * empty + (self.keys.span(max(i, nulls) - nulls, j - nulls) + self.footer["first"] if j > max(i, nulls) else np.zeros(0, np.int64)).tolist()
+
+    def bounds(self, i: int, j: int) -> np.ndarray:
+        """Where the documents from i to before j begin, and where the last of them ends: j - i + 1 offsets."""
+        return self.ends.span(i - 1, j) if i else np.concatenate([[0], self.ends.span(0, j)])
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document, found by ``select`` alone."""
@@ -137,7 +164,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, style: str = "byte", end_
 
     Returns the manifest (a written table): part and seq (file order), path, n_docs, n_ids. Null
     and empty texts have the end id alone; null doc_ids come first; rows that repeat a doc_id are
-    written each. Executors write to ``folder``, which must be shared (by default below the
+    written each, in any order among themselves. A very long text is encoded and written whole, by
+    one task. An empty table has no files. Other columns are not read. Executors write to ``folder``, which must be shared (by default below the
     session's checkpoint folder); a file appears under its name only once it is whole."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -171,16 +199,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, style: str = "byte", end_
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' own bytes."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files' own bytes.
+
+    Offsets come from the files' select structures, ``READ`` documents at a time; no table of them is made."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 got = TokenFile(path)
-                ends = got.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(got.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(got.doc_ids(), pa.int64()), "start": pa.array(starts + base), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())})
+                for i in range(0, got.footer["docs"], READ):
+                    j = min(i + READ, got.footer["docs"])
+                    at = got.bounds(i, j)
+                    crc = [zlib.crc32(got.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(got.doc_ids(i, j), pa.int64()), "start": pa.array(at[:-1] + base), "n_tokens": pa.array(np.diff(at)), "ids_crc32": pa.array(crc, pa.int64())})
 
     placed = running_totals(manifest, ["part", "seq"], {"base": "n_ids"}, "token-offsets").select("path", "base")
     many = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
