@@ -162,7 +162,7 @@ def syncmers(text):
 
 
 def test_fingerprints(unique, docs, empty, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RUN", 7)
+    monkeypatch.setattr(fingerprints, "RUNS", 3)
     got, own = by_id(fingerprints.fingerprints(unique)), texts(unique)
     keys = list(own)
     text = lambda xs: "".join(f"{x % (1 << 64):016X}" for x in xs)
