@@ -9,8 +9,9 @@ are dealt out as runs with one anchor each, and only anchors that occur twice or
 3. where a bucket still holds different runs, their bytes meet in one task: a suffix array with
    common-prefix lengths is built over many buckets at a time, a stack scan walks its interval
    tree, and intervals whose occurrences differ to the left are the maximal repeats;
-4. buckets beyond ``BUCKET`` different runs are settled by counting their strings' hashes in Spark
-   instead, which is exact as well and spreads over all tasks;
+4. a bucket of more than ``BUCKET`` different runs is split first, by longer anchors: strings with the
+   anchor in their left half also share what follows it, the others what stands before it. At the
+   last of ``LEVELS`` halvings the anchor is the whole string, so every bucket comes to an array;
 5. each run's covered ranges go back to all its occurrences, then to the documents."""
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import by_key, documents, saved, small_batches
 from ._text import U64, Rolling, chunks, utf8
@@ -31,16 +34,17 @@ BUCKET = 10_000
 #: Bytes that are hashed at a time; longer texts are taken in overlapping parts.
 PART = 4 << 20
 _PLACE_BITS = U64(24)
+#: Halvings after which an anchor is a whole string: enough for strings of 2**LEVELS places for it.
+LEVELS = 16
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Rolling]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts that share an anchor: first start, number of starts, anchor hash."""
-    rolling = Rolling(data)
-    hashes = rolling.windows(anchor)
+    hashes = Rolling(data).windows(anchor)
     width = length - anchor + 1
     n = len(data) - length + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), rolling
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
     key = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
     blocks = np.concatenate([key, np.full(-len(key) % width, ~U64(0))]).reshape(-1, width)
     left = np.minimum.accumulate(blocks, axis=1).ravel()
@@ -59,7 +63,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
     starts = np.flatnonzero(begin)
     stops = np.append(np.flatnonzero(begin | ~valid), n)
     count = stops[np.searchsorted(stops, starts, "right")] - starts
-    return starts, count, hashes[place[starts]], rolling
+    return starts, count, hashes[place[starts]]
 
 
 def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,7 +79,13 @@ def _pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.ndar
             yield some, np.array([0, len(some)]), np.array([i]), np.array([shift])
 
 
-RUN = "doc_id long, anchor long, seg long, start long, n int"
+#: What tells texts apart: rows of one doc_id and one text lose the same bytes.
+TEXT = ["doc_id", "own"]
+RUN = "doc_id long, own long, anchor long, seg long, start long, n int"
+
+
+def digest(raw: bytes | memoryview, salt: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(raw, salt) - (1 << 63)
 
 
 def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -87,10 +97,12 @@ def runs(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFra
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for data, offsets, rows, shift in _pieces(batch.column("text"), length):
-                starts, count, hashes, rolling = anchors(data, offsets, length, anchor)
+                starts, count, hashes = anchors(data, offsets, length, anchor)
                 own = np.searchsorted(offsets, starts, "right") - 1
-                seg = rolling.ranges(starts, starts + count + length - 1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[own])), pa.array(hashes.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(starts - offsets[own] + shift[own]), pa.array(count.astype(np.int32))], names=["doc_id", "anchor", "seg", "start", "n"])
+                view = memoryview(np.ascontiguousarray(data))
+                seg = [digest(view[a:b]) for a, b in zip(starts.tolist(), (starts + count + length - 1).tolist(), strict=True)]
+                at = pa.array(rows[own])
+                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column("own").take(at), pa.array(hashes.view(np.int64)), pa.array(seg, pa.int64()), pa.array(starts - offsets[own] + shift[own]), pa.array(count.astype(np.int32))], names=["doc_id", "own", "anchor", "seg", "start", "n"])
 
     return docs.mapInArrow(find, RUN)
 
@@ -187,8 +199,10 @@ def joined(own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return own[first], start[first], reach[final] - own[final] * wide
 
 
-COVER = "anchor long, seg long, begin long, stop long"
-GROUP = "anchor long, seg long, off long, repeat long, size long"
+STRING = "bucket long, string long, n long, many long, bytes binary"
+PIECE = "anchor long, seg long, off long, bucket long, string long, n long, many long, bytes binary"
+COVER = "bucket long, string long, begin long, stop long"
+GROUP = "bucket long, string long, off long, repeat long, size long"
 
 
 def _cut(length: int):
@@ -200,34 +214,56 @@ def _cut(length: int):
             out: list[tuple] = []
             for k, listed in enumerate(batch.column("listed").to_pylist()):
                 text = data[offsets[k] : offsets[k + 1]]
-                for r in listed:
-                    own = text[r["start"] : r["start"] + r["n"] + length - 1]
-                    # a row that repeats this doc_id with another text has not these bytes
-                    if len(own) == r["n"] + length - 1 and Rolling(own).ranges(np.array([0]), np.array([len(own)])).view(np.int64)[0] == r["seg"]:
-                        out.append((r["anchor"], r["seg"], r["n"], r["many"], r["kinds"], own.tobytes()))
+                out += [(r["anchor"], r["seg"], r["n"], r["many"], text[r["start"] : r["start"] + r["n"] + length - 1].tobytes()) for r in listed]
             if out:
-                anchor, seg, n, many, kinds, raw = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (anchor, seg, n, many, kinds)), pa.array(raw, pa.binary())], names=["anchor", "seg", "n", "many", "kinds", "bytes"])
+                *numbers, raw = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(raw, pa.binary())], names=["bucket", "string", "n", "many", "bytes"])
 
     return cut
 
 
+def _split(level: int, length: int, anchor: int):
+    """Runs cut into pieces whose strings have the anchor in one of 2**level parts of its places; a
+    piece's bucket is all that every string of its part shares."""
+    places = length - anchor + 1
+    edges = np.unique(np.arange((1 << level) + 1) * places >> level)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                raw, n = row["bytes"], row["n"]
+                hashes = Rolling(np.frombuffer(raw, np.uint8)).windows(anchor) >> _PLACE_BITS
+                at = n - 1 + int(np.argmin(hashes[n - 1 : places]))  # the anchor's place: the leftmost least, as in ``anchors``
+                for k in range(int(np.searchsorted(edges, at - n + 1, "right")) - 1, int(np.searchsorted(edges, at, "right"))):
+                    low, high = int(edges[k]), int(edges[k + 1]) - 1  # places of the anchor in a string of this part
+                    first, last = at - min(high, at), at - max(low, at - n + 1)  # starts of such strings
+                    piece, common = raw[first : last + length], raw[at - low : at + length - high]
+                    bucket = digest(common, (level << 32) + k)
+                    out.append((row["anchor"], row["seg"], row["off"] + first, bucket, digest(piece), last - first + 1, row["many"], piece))
+            if out:
+                *numbers, raw = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(raw, pa.binary())], names=["anchor", "seg", "off", "bucket", "string", "n", "many", "bytes"])
+
+    return split
+
+
 def _by_suffixes(length: int, groups: bool):
-    """Ranges of each run that maximal repeats cover; or, with ``groups``, all their occurrences."""
+    """Ranges of each string that maximal repeats cover; or, with ``groups``, all their occurrences."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "anchor", 8_000):
+        for table in by_key(batches, "bucket", 8_000):
             owned = table.column("n").to_numpy().astype(np.int64)
-            anchor, seg = table.column("anchor").to_numpy(), table.column("seg").to_numpy()
+            bucket, string = table.column("bucket").to_numpy(), table.column("string").to_numpy()
             array = SuffixArray(table.column("bytes").to_pylist(), owned)
             owner = np.searchsorted(array.base, array.at, "right") - 1
             found = list(intervals(array, length))
             if groups:
-                rolling, at = Rolling(array.text), array.at
+                raw, at = array.text.tobytes(), array.at
                 for a, b, size in found:
                     who, many = owner[a : b + 1], b - a + 1
-                    name = rolling.ranges(at[a : a + 1], at[a : a + 1] + size).view(np.int64)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[who]), pa.array(seg[who]), pa.array(at[a : b + 1] - array.base[who]), pa.array(np.full(many, name)), pa.array(np.full(many, size))], names=["anchor", "seg", "off", "repeat", "size"])
+                    name = digest(raw[at[a] : at[a] + size])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[who]), pa.array(string[who]), pa.array(at[a : b + 1] - array.base[who]), pa.array(np.full(many, name)), pa.array(np.full(many, size))], names=["bucket", "string", "off", "repeat", "size"])
                 continue
             best = np.zeros(len(array.at), np.int64)
             for a, b, size in found:
@@ -235,72 +271,104 @@ def _by_suffixes(length: int, groups: bool):
             hit = np.flatnonzero((best > 0) & (table.column("many").to_numpy()[owner] == 1))
             start = array.at[hit] - array.base[owner[hit]]
             own, begin, stop = joined(owner[hit], start, start + best[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(seg[own]), pa.array(begin), pa.array(stop)], names=["anchor", "seg", "begin", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[own]), pa.array(string[own]), pa.array(begin), pa.array(stop)], names=["bucket", "string", "begin", "stop"])
 
     return scan
 
 
-def _by_counting(strings: DataFrame, length: int) -> DataFrame:
-    """Of very large buckets: each string's hash, counted over all of its bucket."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, seg, many, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg", "many", "bytes")), strict=True):
-                hashes = Rolling(np.frombuffer(raw, np.uint8)).windows(length)
-                k = len(hashes)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(k, x, np.int64)) for x in (anchor, seg, many)), pa.array(hashes.view(np.int64)), pa.array(np.arange(k))], names=["anchor", "seg", "many", "string", "off"])
-
-    each = strings.mapInArrow(cut, "anchor long, seg long, many long, string long, off long")
-    twice = each.groupBy("anchor", "string").agg(F.sum("many").alias("c")).where("c > 1").select("anchor", "string")
-    return each.join(twice, ["anchor", "string"]).select("anchor", "seg", F.col("off").alias("begin"), (F.col("off") + length).alias("stop"))
-
-
 class Repeats:
     """The repeats of ``length`` bytes or more in ``docs`` (doc_id, text), in all documents and within one.
 
-    Texts are their UTF-8 bytes; a null is empty. Rows with a null doc_id take no part: they
-    neither repeat others nor are found. Rows that repeat a doc_id are taken as further texts."""
+    Texts are their UTF-8 bytes; a null is empty. Rows that repeat a doc_id, and rows without one,
+    are texts like others. A very long text is taken in overlapping parts of ``PART`` bytes."""
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET):
-        self.docs, self.length, self.bucket = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, bucket
-        known = self.docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-        found = runs(known, length, min(ANCHOR, length))
+        self.length, self.bucket, self.anchor = length, bucket, min(ANCHOR, length)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("own"))
+        known = self.docs.where("text IS NOT NULL")
+        found = runs(known, length, self.anchor)
         # written, so that the join below has two plain exchanges and Spark can split a hot anchor's rows
         twice = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeat-anchors")
         self.runs = saved(found.join(twice, "anchor").select(*found.columns), "repeat-runs")
-        segs = self.runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "start", "n")).alias("first"))
-        self.segs = saved(segs.select("anchor", "seg", "many", "first.doc_id", "first.start", "first.n"), "repeat-segs")
+        segs = self.runs.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(*TEXT, "start", "n")).alias("first"))
+        self.segs = saved(segs.select("anchor", "seg", "many", "first.*"), "repeat-segs")
         kinds = self.segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-        listed = self.segs.join(kinds, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "many", "kinds")).alias("listed"))
-        strings = known.join(listed, "doc_id").mapInArrow(_cut(length), "anchor long, seg long, n long, many long, kinds long, bytes binary")
-        self.huge = not kinds.where(F.col("kinds") > bucket).isEmpty()
-        self.strings = saved(strings, "repeat-strings") if self.huge else strings
-
-    def _dealt(self) -> DataFrame:
-        many = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self.strings.where(F.col("kinds") <= self.bucket).repartition(many, "anchor").sortWithinPartitions("anchor")
+        listed = self.segs.join(kinds, "anchor").groupBy(*TEXT).agg(F.collect_list(F.struct("anchor", "seg", "start", "n", "many")).alias("listed"))
+        listed = listed.withColumnsRenamed({c: f"_{c}" for c in TEXT})
+        same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("own") == F.col("_own"))
+        self.strings = known.join(listed, same).mapInArrow(_cut(length), STRING)
+        self.many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        large = kinds.where(F.col("kinds") > bucket).select(F.col("anchor").alias("bucket"))
+        self.levels = [] if large.isEmpty() else self._levels(large)
+
+    def _levels(self, large: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+        """Split the large buckets until none is: pieces of runs (``PIECE``), and their different strings (``STRING``)."""
+        self.strings = saved(self.strings, "repeat-strings")
+        rest = self.strings.join(large, "bucket").withColumns({"anchor": F.col("bucket"), "seg": F.col("string"), "off": F.lit(0).cast("long")})
+        self.strings = self.strings.join(large, "bucket", "left_anti").select(*self.strings.columns)
+        out = []
+        for level in range(1, LEVELS + 1):
+            pieces = saved(rest.select("anchor", "seg", "off", "n", "many", "bytes").mapInArrow(_split(level, self.length, self.anchor), PIECE), "repeat-pieces")
+            strings = saved(pieces.groupBy("bucket", "string").agg(F.first("n").alias("n"), F.sum("many").alias("many"), F.first("bytes").alias("bytes")), "repeat-strings")
+            large = saved(strings.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > self.bucket).select("bucket"), "repeat-large")
+            if large.isEmpty():
+                out.append((pieces, strings))
+                break
+            out.append((pieces.join(large, "bucket", "left_anti").select(*pieces.columns), strings.join(large, "bucket", "left_anti").select(*strings.columns)))
+            rest = pieces.join(large, "bucket")
+        return out
+
+    def _scanned(self, strings: DataFrame, groups: bool) -> DataFrame:
+        """What the arrays find, and the strings that occur more than once as a whole."""
+        dealt = strings.repartition(self.many, "bucket").sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_by_suffixes(self.length, groups), GROUP if groups else COVER)
+
+    def _whole(self, strings: DataFrame, groups: bool) -> DataFrame:
+        whole, zero = (F.col("n") + self.length - 1).cast("long"), F.lit(0).cast("long")
+        rows = strings.where("many > 1")
+        if groups:
+            return rows.select("bucket", "string", zero.alias("off"), F.xxhash64("string").alias("repeat"), whole.alias("size"))
+        return rows.select("bucket", "string", zero.alias("begin"), whole.alias("stop"))
+
+    def _found(self, groups: bool) -> DataFrame:
+        """By anchor and seg: covered ranges, or occurrences of groups."""
+        names = {"bucket": "anchor", "string": "seg"}
+        first = self.segs.withColumnsRenamed({v: k for k, v in names.items()})
+        out = self._scanned(self.strings, groups).unionByName(self._whole(first, groups)).withColumnsRenamed(names)
+        move = ["off"] if groups else ["begin", "stop"]
+        for pieces, strings in self.levels:
+            found = self._scanned(strings, groups).unionByName(self._whole(strings, groups)).withColumnsRenamed({"off": "_off"})
+            back = found.join(pieces.select("anchor", "seg", "bucket", "string", "off"), ["bucket", "string"])
+            shifted = {c: F.col("off") + F.col("_off" if c == "off" else c) for c in move}
+            out = out.unionByName(back.withColumns(shifted).select(*out.columns))
+        return out
 
     def groups(self) -> DataFrame:
-        """Every occurrence (repeat, size, doc_id, start) of every maximal repeat.
-
-        Repeats are maximal within runs of one anchor: a longer one shows as a chain of
-        overlapping groups. ``repeat`` is a hash of its bytes. Strings of runs in buckets of more
-        than ``bucket`` different runs show as repeats of ``length`` bytes each."""
-        found = self._dealt().mapInArrow(_by_suffixes(self.length, True), GROUP)
-        copies = self.segs.where("many > 1").select("anchor", "seg", F.lit(0).cast("long").alias("off"), F.col("seg").alias("repeat"), (F.col("n") + self.length - 1).cast("long").alias("size"))
-        found = found.unionByName(copies)
-        if self.huge:
-            large = _by_counting(self.strings.where(F.col("kinds") > self.bucket), self.length)
-            found = found.unionByName(large.select("anchor", "seg", F.col("begin").alias("off"), F.xxhash64("anchor", "seg", "begin").alias("repeat"), F.lit(self.length).cast("long").alias("size")))
-        return self.runs.join(found, ["anchor", "seg"]).select("repeat", "size", "doc_id", (F.col("start") + F.col("off")).alias("start"))
+        """Every occurrence (repeat, size, doc_id, own, start) of every group of equal strings; ``own`` is the text's hash.
+
+        A group has all occurrences of its string, and can be extended neither to the left nor to
+        the right by bytes that all of them share, but for one case: inside a longer repeat, a
+        stretch that occurs elsewhere too is a group of its own and cuts the longer one in two.
+        ``repeat`` names the group."""
+        found = self.runs.join(self._found(True), ["anchor", "seg"]).select("repeat", "size", *TEXT, (F.col("start") + F.col("off")).alias("start"))
+        found = saved(found.distinct(), "repeat-occurrences")
+        key = ["repeat", "size"]
+        heads = saved(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*TEXT, "start")).alias("head")), "repeat-heads")
+        # the runs of a longer repeat occur at the same places but for a shift: their places relative to the first are equal
+        shape = found.join(heads, key).groupBy(*key, "n", "head").agg(F.sum(F.xxhash64(*TEXT, F.col("start") - F.col("head.start")).cast("decimal(38,0)")).alias("shape"))
+        chain = Window.partitionBy("head.doc_id", "head.own", "n", "shape").orderBy("head.start", "size")
+        stop = F.col("head.start") + F.col("size")
+        before = F.max(stop).over(chain.rowsBetween(Window.unboundedPreceding, -1))
+        opens = F.coalesce(F.col("head.start") > before - (self.length - 1), F.lit(True))
+        linked = shape.withColumn("_opens", opens.cast("int")).withColumn("_link", F.sum("_opens").over(chain))
+        whole = linked.groupBy("head.doc_id", "head.own", "n", "shape", "_link").agg(F.min(F.struct("head.start", *key)).alias("first"), F.max(stop).alias("stop"))
+        named = whole.select("first.repeat", "first.size", (F.col("stop") - F.col("first.start")).alias("_size"))
+        out = found.join(named, key)
+        return out.select(F.xxhash64("repeat", "_size").alias("repeat"), F.col("_size").alias("size"), *TEXT, "start")
 
     def ranges(self) -> DataFrame:
-        """doc_id, begin, stop: byte ranges that repeats cover; they may overlap."""
-        found = self._dealt().mapInArrow(_by_suffixes(self.length, False), COVER)
-        found = found.unionByName(self.segs.where("many > 1").select("anchor", "seg", F.lit(0).cast("long").alias("begin"), (F.col("n") + self.length - 1).cast("long").alias("stop")))
-        if self.huge:
-            found = found.unionByName(_by_counting(self.strings.where((F.col("kinds") > self.bucket)), self.length))
-        return self.runs.join(found, ["anchor", "seg"]).select("doc_id", (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("stop")).alias("stop"))
+        """doc_id, own, begin, stop: byte ranges that repeats cover; they may overlap."""
+        return self.runs.join(self._found(False), ["anchor", "seg"]).select(*TEXT, (F.col("start") + F.col("begin")).alias("begin"), (F.col("start") + F.col("stop")).alias("stop"))
 
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -311,9 +379,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, in this or
     another document; strings are judged on the input. n_spans counts the maximal removed runs.
-    Null and empty texts keep nothing and lose nothing; a null doc_id loses nothing."""
+    Null and empty texts keep nothing and lose nothing. Rows that repeat a doc_id, and rows without
+    one, are texts like others: equal rows lose what they share. A very long text is held whole,
+    beside its spans, by one task at a time. An empty table stays empty. Other columns are not
+    read, whatever their names."""
     found = Repeats(docs, length, bucket)
-    spans = found.ranges().groupBy("doc_id").agg(F.collect_set(F.struct("begin", "stop")).alias("spans"))
+    spans = found.ranges().groupBy(*TEXT).agg(F.collect_set(F.struct("begin", "stop")).alias("spans")).withColumnsRenamed({c: f"_{c}" for c in TEXT})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("own") == F.col("_own"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET)
                 count.append(len(begin))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return found.docs.join(spans, "doc_id", "left").mapInArrow(cut, CUT)
+    return found.docs.join(spans, same, "left").select("doc_id", "text", "spans").mapInArrow(cut, CUT)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
