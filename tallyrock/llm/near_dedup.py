@@ -2,11 +2,15 @@
 
 1. One pass over the texts: each document's set of 5-word shingles, its MinHash signature, the
    band keys, and the signature's low bits packed. Documents of equal sets fall together first.
-2. Documents that share a band key are compared by counting equal low bits, corrected for chance
-   collisions. A bucket, or block of a large bucket, yields a spanning forest of its similar
-   members and never its pairs. The connected components are families.
-3. Families are compared again on whole sets, in blocks; again only a spanning forest leaves a
-   task. Components of those confirmed links are the result."""
+2. Of the documents that share a band key, the one with the most company is the key's hub. Each
+   document is compared, on whole sets, with the hub that is estimated to be nearest, where low
+   bits are counted and corrected for chance collisions. A group of copies costs one comparison each.
+3. Band keys whose documents are not in one component yet: each document is compared in the same
+   way with the nearest one of another component. A chain of copies costs one comparison more.
+4. Band keys that still have several components: all estimated neighbours of different components
+   are families, and a family is compared on whole sets, in blocks, so that no link is lost.
+
+Only links and spanning forests leave a task, never pairs. Components of the links are the result."""
 
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import by_key, components, documents, saved, small_batches
-from ._text import LOWER, STEP, U64, Rolling, chunks, mix, shingles, utf8, words
+from ._text import LOWER, STEP, U64, chunks, hashes, mix, shingles, utf8, words
 
 #: Minima of a signature. The first BANDS * ROWS make the bands: at similarity 0.80 a pair shares no band
 #: three times in a million, at 0.85 three times in a thousand million.
@@ -28,17 +32,19 @@ BANDS, ROWS = 42, 6
 BITS = 2
 #: Estimates this far below the wanted similarity still count as candidates: over 4.5 standard deviations at 0.80.
 MARGIN = 0.14
-#: Members of a block of a bucket, and of a family.
-BUCKET_BLOCK, FAMILY_BLOCK = 2048, 256
+#: Members of a block of a bucket (and of a hub's), and of a family.
+BUCKET_BLOCK, FAMILY_BLOCK = 1024, 256
+#: Bytes of texts that a task of a family's blocks takes up at a time, or one block if that has more.
+CHUNK = 64 << 20
 
 _seeds = np.random.default_rng(7).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint64).astype(np.uint32)
 _FACTOR, _SHIFT = (_seeds[0] | np.uint32(1))[:, None], _seeds[1][:, None]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
+def minima(values: np.ndarray) -> np.ndarray:
     """The MinHash signature of a set of 64-bit hashes."""
     out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-    x = (hashes >> U64(32)).astype(np.uint32)
+    x = (values >> U64(32)).astype(np.uint32)
     for i in range(0, len(x), 1024):
         y = x[None, i : i + 1024] * _FACTOR
         y ^= _SHIFT
@@ -73,7 +79,7 @@ def _sets(column: pa.Array) -> Iterator[list[np.ndarray]]:
     for i, j in chunks(offsets):
         some, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends, places = words(some, at)
-        runs, at = shingles(Rolling(some).ranges(starts, ends), places)
+        runs, at = shingles(hashes(some, starts, ends), places)
         yield [np.unique(runs[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
@@ -158,40 +164,141 @@ def _groups_of(table: pa.Table, *keys: str) -> Iterator[tuple[int, int]]:
     yield from zip(at[:-1][keep].tolist(), at[1:][keep].tolist(), strict=True)
 
 
-def families(classes: DataFrame, least: float) -> DataFrame:
-    """(id, component) of the classes (id, n, bands, bits) that have an estimated neighbour at ``least``."""
+def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Estimated similarity of packed signatures, row by row."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
+    unequal, mask = x ^ y, U64(sum(1 << k for k in range(0, 64, BITS)))
+    for s in range(1, BITS):
+        unequal |= (x ^ y) >> U64(s)
+    same, chance = 1 - np.bitwise_count(unequal & mask).sum(axis=1) / MINIMA, 2.0**-BITS
+    return (same - chance) / (1 - chance)
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """(band, id, company) for the band keys of more than one class; a written table."""
     banded = classes.select("id", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("band")
-    members = banded.join(sizes, "band")
-    rows = members.join(classes.select("id", "n", "bits"), "id")
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
+    return saved(banded.join(sizes, "band").select("band", "id", "company"), "near-buckets")
+
+
+def nearest_hubs(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(id, hub): of the hubs of its buckets the one that is nearest to a class by estimate, at ``least`` or more.
+
+    A bucket's hub is the member with most company in all of its buckets."""
+    weight = saved(members.groupBy("id").agg(F.sum("company").alias("weight")), "near-weights")
+    hubs = saved(members.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("hub")), "near-hubs")
+    pairs = saved(members.join(hubs, "band").where("id <> hub").select("id", "hub").distinct(), "near-hub-pairs")
+    signed = classes.select("id", "bits")
+    both = pairs.join(signed.withColumnRenamed("bits", "own"), "id").join(signed.select(F.col("id").alias("hub"), F.col("bits").alias("other")), "hub")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hub"), pa.array(alike(batch.column("own"), batch.column("other")))], names=["id", "other", "near"])
+
+    found = both.select("id", "hub", "own", "other").mapInArrow(estimate, "id long, other long, near double").where(F.col("near") >= least)
+    return _best(found)
+
+
+def _best(found: DataFrame) -> DataFrame:
+    return found.groupBy("id").agg(F.max(F.struct("near", (-F.col("other")).alias("minus"))).alias("top")).select("id", (-F.col("top.minus")).alias("hub"))
+
+
+def still_open(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(band, id, component) of the buckets that hold several components; a written table."""
+    own = members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    labelled = saved(own, name)
+    several = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
+    return saved(labelled.join(several, "band"), name)
+
+
+def _compared(still: DataFrame, classes: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Classes of a bucket but of different components, compared by their signatures in blocks:
+    the nearest other one of each (id, other, near), or a spanning forest of all that are near (a, b)."""
+    rows = still.join(classes.select("id", "n", "bits"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "_task", 20_000):
-            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            ids, n, side, part = (table.column(c).to_numpy() for c in ("id", "n", "_side", "component"))
             bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-            found = []
+            found, best = [], []
             for a, b in _groups_of(table, "_task", "band"):
-                size = n[a:b]
+                size, across = n[a:b], side[a] != side[b - 1]
                 for lo in range(a, b, 512):
                     hi = min(lo + 512, b)
-                    near = similarity(bits[lo:hi], bits[a:b]) >= least
+                    score = similarity(bits[lo:hi], bits[a:b])
+                    near = (score >= least) & (part[lo:hi, None] != part[a:b])
                     near &= np.minimum(n[lo:hi, None], size) >= least * np.maximum(n[lo:hi, None], size)
+                    if across:
+                        near &= side[lo:hi, None] != side[a:b]
+                    if nearest:
+                        score[~near] = -1
+                        top = score.argmax(axis=1)
+                        some = np.flatnonzero(near.any(axis=1))
+                        best.append((ids[lo:hi][some], ids[a:b][top[some]], score[some, top[some]]))
+                        continue
                     near &= np.arange(a, b)[None, :] > np.arange(lo, hi)[:, None]
                     x, y = np.nonzero(near)
                     some = forest(zip((x + lo - a).tolist(), y.tolist(), strict=True), b - a)
                     if some:
                         i, j = np.array(some).T
                         found.append((ids[a:b][i], ids[a:b][j]))
-            yield _edges(found)
+            if nearest and best:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*best, strict=True)], names=["id", "other", "near"])
+            elif not nearest:
+                yield _edges(found)
 
     many = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_blocks(rows, ["band"], BUCKET_BLOCK).select("_task", "band", "id", "n", "bits")
-    pairs = dealt.repartition(many, "_task").sortWithinPartitions("_task", "band").mapInArrow(compare, "a long, b long")
-    return components(pairs, "near-families")
+    dealt = in_blocks(rows, ["band"], BUCKET_BLOCK).select("_task", "band", "_side", "id", "n", "bits", "component")
+    dealt = dealt.repartition(many, "_task").sortWithinPartitions("_task", "band", "_side")
+    return dealt.mapInArrow(compare, "id long, other long, near double" if nearest else "a long, b long")
+
+
+def linked(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b): the pairs (id, hub) that are linked on their whole sets.
+
+    Each id's text goes to one task, and a hub's text to as many as there are blocks of its ids;
+    a task holds the set of one hub at a time, and a batch of texts."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("long").alias("_blocks"))
+    pairs = saved(pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("block")), "near-pairs")
+    hubs = pairs.select(F.col("hub").alias("id"), "hub", "block").distinct()
+    rows = texts.join(pairs.withColumn("role", F.lit(1)).unionByName(hubs.withColumn("role", F.lit(0))), "id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, held = None, []
+        for batch in batches:
+            out, k = [], 0
+            ids, hubs, blocks, role = (batch.column(c).to_pylist() for c in ("id", "hub", "block", "role"))
+            for some in _sets(batch.column("text")):
+                for own in some:
+                    if role[k] == 0:
+                        if hub != (hubs[k], blocks[k]):
+                            hub, held = (hubs[k], blocks[k]), []
+                        held.append(own)  # more than one if the hub's doc_id repeats
+                    elif hub == (hubs[k], blocks[k]) and any(_near(own, x, least) for x in held):
+                        out.append((ids[k], hubs[k]))
+                    k += 1
+            if out:
+                a, b = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("id", "hub", "block", "role", "text").repartition(many, "hub", "block").sortWithinPartitions("hub", "block", "role")
+    return saved(dealt.mapInArrow(compare, "a long, b long"), "near-linked")
+
+
+def _near(a: np.ndarray, b: np.ndarray, least: int) -> bool:
+    """Whether two ascending sets have 100 * intersection >= least * union."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= least * (len(a) + len(b) - both)
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= least * union; of two sides, all pairs count."""
+    """A spanning forest of the pairs with 100 * intersection >= least * union; of two sides, of the pairs across."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
@@ -204,18 +311,22 @@ def _links(sets: list[np.ndarray], side: np.ndarray, least: int) -> list[tuple[i
     use = shared[column]
     renamed = np.cumsum(shared) - 1
     owner, column = owner[use], renamed[column[use]]
-    both = np.zeros((n, n), np.float32)
+    rows = np.flatnonzero(side == side[0])
+    columns = np.flatnonzero(side != side[0]) if side[0] != side[-1] else rows
+    both = np.zeros((len(rows), len(columns)), np.float32)
     width = int(shared.sum())
     for lo in range(0, width, 8192):
         hi = min(width, lo + 8192)
         a, b = np.searchsorted(column, [lo, hi])
         matrix = np.zeros((n, hi - lo), np.float32)
         matrix[owner[a:b], column[a:b] - lo] = 1
-        both += matrix @ matrix.T
+        both += matrix[rows] @ matrix[columns].T
     both = both.astype(np.int64)
-    near = 100 * both >= least * (sizes[:, None] + sizes[None, :] - both)
-    x, y = np.nonzero(np.triu(near, 1))
-    return forest(zip(x.tolist(), y.tolist(), strict=True), n)
+    near = 100 * both >= least * (sizes[rows, None] + sizes[columns] - both)
+    if columns is rows:
+        near = np.triu(near, 1)
+    x, y = np.nonzero(near)
+    return forest(zip(rows[x].tolist(), columns[y].tolist(), strict=True), n)
 
 
 def confirmed(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
@@ -225,7 +336,7 @@ def confirmed(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     dealt = in_blocks(texts, ["component"], FAMILY_BLOCK).select("_task", "component", "_side", "id", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, "_task", 512):
+        for table in by_key(batches, "_task", 512, CHUNK):
             ids, side = table.column("id").to_numpy(), table.column("_side").to_numpy()
             sets = [s for some in _sets(table.column("text")) for s in some]
             found = []
@@ -236,7 +347,7 @@ def confirmed(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
             yield _edges(found)
 
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(many, "_task").sortWithinPartitions("_task", "component").mapInArrow(compare, "a long, b long")
+    return dealt.repartition(many, "_task").sortWithinPartitions("_task", "component", "_side").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
@@ -246,21 +357,39 @@ def near_duplicates(docs: DataFrame, least: int = 85) -> DataFrame:
     5-word shingles (A-Z in lower case; with fewer words, the whole sequence is the one shingle).
     component_id is the smallest doc_id that links reach. Null, empty and blank texts have an
     empty set and are linked with nothing. Rows that repeat a doc_id count as one document, whose
-    sets link all their documents; a null doc_id has a null component and is kept."""
+    sets link all their documents; a null doc_id has a null component and is kept. A very long
+    text takes memory for its set, a few at a time. An empty table stays empty. Other columns are
+    not read, whatever their names."""
     table = sketches(docs)
     full = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["set_a", "set_b", "n_shingles"]
-    ids = full.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    heads = saved(full.join(ids, key).where("doc_id = id").groupBy("id", *key).agg(F.first("bands").alias("bands"), F.first("bits").alias("bits")), "near-classes")
+    heads = saved(full.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "near-classes")
+    # sets of one document, if its id repeats, are one class
     classes = heads.select("id", F.col("n_shingles").alias("n"), "bands", "bits")
-    near = families(classes, least / 100 - MARGIN)
-    links = confirmed(docs, near, least)
-    found = components(links, "near-links")
+    found = _components(docs, classes, least)
     named = heads.select("id", *key).join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     out = table.join(named, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _components(docs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(id, component) of the classes that are linked with others, by the steps 2 to 4."""
+    bound = least / 100 - MARGIN
+    members = buckets(classes)
+    links = linked(docs, nearest_hubs(members, classes, bound), least)
+    found = saved(components(links, "near-stars"), "near-found")
+    still = still_open(members, found, "near-open")
+    if still.isEmpty():
+        return found
+    links = links.union(linked(docs, _best(_compared(still, classes, bound, True)), least))
+    found = saved(components(links, "near-chains"), "near-found")
+    still = still_open(members, found, "near-open")
+    if still.isEmpty():
+        return found
+    near = components(_compared(still, classes, bound, False), "near-families")
+    return components(links.union(confirmed(docs, near, least)), "near-links")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
 
