@@ -1,4 +1,4 @@
-"""``python -m tallyrock COMMAND ROOT ...`` (or by spark-submit): look at and move a stored database."""
+"""``python -m tallyrock COMMAND DUMP ...`` (or by spark-submit): look at and move a dumped database."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans.explain import explain
-from .session import dialect_session
-from .sources import as_inserts
+from .sources import as_inserts, csv_lines
 from .sources.sinks import table_text, vertical_text
 from .tables import Database
 
@@ -24,7 +23,7 @@ def show(df: DataFrame, form: str) -> None:
         rows = df.toJSON().toLocalIterator()
     else:
         out.write(",".join(df.columns) + "\n")
-        rows = (r[0] for r in df.selectExpr("to_csv(struct(*)) AS line").toLocalIterator())
+        rows = (r["line"] for r in csv_lines(df).toLocalIterator())
     for row in rows:
         out.write(f"{row}\n")
 
@@ -32,16 +31,22 @@ def show(df: DataFrame, form: str) -> None:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tallyrock", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, extra in {"query": ["sql"], "explain": ["sql"], "tables": [], "export": ["table", "path"], "dump": ["path"], "restore": ["path"], "vacuum": []}.items():
+    for name, extra in {"query": ["sql"], "explain": ["sql"], "tables": [], "export": ["table", "path"], "dump": ["path"], "restore": ["path"]}.items():
         command = commands.add_parser(name)
-        command.add_argument("root")
+        command.add_argument("database")
         for x in extra:
             command.add_argument(x)
         if name == "query":
             command.add_argument("--param", action="append", default=[])
             command.add_argument("--format", choices=["table", "vertical", "json", "csv"], default="table")
     given = parser.parse_args(args)
-    db = Database(dialect_session(spark or SparkSession.builder.appName("tallyrock").getOrCreate()), given.root)
+    spark = spark or SparkSession.builder.appName("tallyrock").getOrCreate()
+    if given.command == "restore":  # into a new dump, under the constraints
+        db = Database(spark)
+        print(f"{db.restore(given.path)} rows")
+        db.dump(given.database)
+        return
+    db = Database.stored(spark, given.database)
     if given.command == "query":
         show(db.select(given.sql, given.param), given.format)
     elif given.command == "explain":
@@ -51,12 +56,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             print(db.declaration(name).ddl())
     elif given.command == "export":  # one INSERT statement a line, written by all tasks
         as_inserts(db.table(given.table), given.table).write.text(given.path)
-    elif given.command == "dump":
-        db.dump(given.path)
-    elif given.command == "restore":
-        print(f"{db.restore(given.path)} rows")
     else:
-        print(f"{db.vacuum()} files and folders")
+        db.dump(given.path)
 
 
 if __name__ == "__main__":

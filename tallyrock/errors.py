@@ -17,9 +17,5 @@ class SchemaError(EngineError):
     """A table, column, index or constraint is missing, doubled or still in use."""
 
 
-class TransactionError(EngineError):
-    """A transaction is missing, already open, or lost a race to commit."""
-
-
 class ExecutionError(EngineError):
     """A query has no meaning in this dialect."""

@@ -6,20 +6,23 @@ over exact decimals, which also stay exact at any scale."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EngineError
 from ..functions import (
-    abs_of, avg_of, between, coalesce_of, concat_of, count_all, count_distinct_of, count_of, divide, in_list, length_of, like, lower_of,
+    abs_of, avg_of, between, clock, coalesce_of, concat_of, count_all, count_distinct_of, count_of, divide, first_of, in_list, length_of, like, lower_of,
     max_of, min_of, modulo, negate, not_between, not_in_list, not_like, sum_of, upper_of,
 )
 from ..operators import (
     Item, aggregate, asc, desc, distinct, distinct_ordered, inner_join, join_chain, keep, left_join, limit, order, project, qualify,
     right_join, star, top_k, without_match,
 )
-from ..session import on_tables, select
-from ..sources import as_inserts, point, scan, span
+from ..session import new_folder, on_tables, select
+from ..sources import as_inserts, csv_lines, point, scan, span
+from .explain import explain
 from ..tables import BIGINT, INT, VARCHAR, Check, Column_, Database, ForeignKey, Index, Table, Unique
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,24 +448,175 @@ def index_unique(s, d):
 @query(_ORDERS)
 def txn_rollback(s, d):
     db = world(s, d)
-    db.begin()
-    db.delete("orders")
-    db.rollback()
+    before = db.version()
+    if db.delete("orders", c("o_orderstatus") == "F"):
+        db.back_to(before)
     return db.table("orders")
 
 
 @query(f"SELECT * FROM ({_ORDERS}) WHERE o_orderkey > 10")
 def savepoint(s, d):
     db = world(s, d)
-    db.begin()
     db.delete("orders", c("o_orderkey") <= 10)
-    db.savepoint("a")
-    db.delete("orders", c("o_orderkey") <= 100)
-    db.rollback_to("a")
-    db.commit()
+    kept = db.version()
+    if db.delete("orders", c("o_orderkey") <= 100):
+        db.back_to(kept)
     return db.table("orders")
 
 
+def lines(s: SparkSession, d: str, on_update: str = "cascade") -> Database:
+    """The tables of ``world`` and a third one: notes on orders, which name the order's key and customer."""
+    db = Database(s)
+    db.create_table(Table("customer", (Column_("c_custkey", BIGINT), Column_("bal", BIGINT), Column_("balance", BIGINT)), (Unique(("c_custkey",), primary=True),), (Check("balance >= 0"),)))
+    db.create_table(Table(
+        "orders", (Column_("o_orderkey", BIGINT), Column_("o_custkey", BIGINT)), (Unique(("o_orderkey",), primary=True), Unique(("o_custkey", "o_orderkey"))),
+        (), (ForeignKey(("o_custkey",), "customer", ("c_custkey",), "restrict", "cascade"),),
+    ))
+    db.create_table(Table(
+        "notes", (Column_("n_custkey", BIGINT), Column_("n_orderkey", BIGINT), Column_("n_status", VARCHAR(1))), (), (),
+        (ForeignKey(("n_custkey", "n_orderkey"), "orders", ("o_custkey", "o_orderkey"), "restrict", on_update),),
+    ))
+    orders = scan(s, d, "orders")
+    db.insert("customer", scan(s, d, "customer").select("c_custkey", F.lit(1).alias("bal"), F.lit(2).alias("balance")))
+    db.insert("orders", orders.select("o_orderkey", "o_custkey"))
+    db.insert("notes", orders.select("o_custkey", "o_orderkey", "o_orderstatus"), ["n_custkey", "n_orderkey", "n_status"])
+    return db
+
+
+@query("SELECT CASE WHEN o_custkey % 10 = 3 THEN o_custkey + 100000000 ELSE o_custkey END AS n_custkey, o_orderkey AS n_orderkey, o_orderstatus AS n_status FROM orders")
+def dml_update_cascade_deep(s, d):
+    db = lines(s, d)
+    db.update("customer", {"c_custkey": c("c_custkey") + 100_000_000}, c("c_custkey") % 10 == 3)
+    return db.table("notes")
+
+
+@query("SELECT c_custkey, 2::BIGINT AS balance FROM customer")
+def alter_drop_similar_name(s, d):
+    db = lines(s, d)
+    db.drop_column("customer", "bal")
+    return db.table("customer")
+
+
+@query("""SELECT * FROM (VALUES ('delete a referenced row', 'ConstraintError'), ('change a key that a restricted row names, one level down', 'ConstraintError'), ('insert a row without its parent', 'ConstraintError'),
+('insert a key twice', 'ConstraintError'), ('break a check', 'ConstraintError'), ('insert a text as a number', 'ValueTypeError'), ('drop a referenced table', 'SchemaError'),
+('drop a column that a check reads', 'SchemaError'), ('read a table that is not there', 'SchemaError'), ('delete a row that nothing names', 'none')) AS t(statement, error)""")
+def refused(s, d):
+    """What constraints refuse, and by which error."""
+    db = lines(s, d, "restrict")
+    db.insert("customer", [(-1, 1, 2)])
+    statements = {
+        "delete a referenced row": lambda: db.delete("customer", c("c_custkey").isin([r[0] for r in scan(s, d, "orders").select("o_custkey").limit(1).collect()])),
+        "change a key that a restricted row names, one level down": lambda: db.update("customer", {"c_custkey": c("c_custkey") + 100_000_000}, c("c_custkey") >= 0),
+        "insert a row without its parent": lambda: db.insert("orders", [(-5, -99)]),
+        "insert a key twice": lambda: db.insert("customer", [(-1, 1, 2)]),
+        "break a check": lambda: db.update("customer", {"balance": -1}),
+        "insert a text as a number": lambda: db.insert("customer", [("one", 1, 2)]),
+        "drop a referenced table": lambda: db.drop_table("orders"),
+        "drop a column that a check reads": lambda: db.drop_column("customer", "balance"),
+        "read a table that is not there": lambda: db.table("nothing"),
+        "delete a row that nothing names": lambda: db.delete("customer", c("c_custkey") == -1),
+    }
+    found = []
+    for name, statement in statements.items():
+        try:
+            statement()
+            found.append((name, "none"))
+        except EngineError as e:
+            found.append((name, type(e).__name__))
+    return s.createDataFrame(found, "statement string, error string")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 <> 1")
+def drop_table(s, d):
+    db = world(s, d, on_delete="restrict")
+    db.drop_table("orders")
+    db.delete("customer", c("c_custkey") % 10 == 1)  # no order restricts it any more
+    return project(db.table("customer"), "c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT 900000001, c_name FROM customer WHERE c_custkey = 1")
+def drop_index(s, d):
+    db = world(s, d)
+    db.create_index("customer", Index("names", ("c_name",), unique=True))
+    again = db.table("customer").where("c_custkey = 1").withColumn("c_custkey", F.lit(900_000_001).cast("long"))
+    try:
+        db.insert("customer", again)
+    except EngineError:
+        db.drop_index("customer", "names")
+        db.insert("customer", again)
+    return project(db.table("customer"), "c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer")
+def dump_restore(s, d):
+    path = new_folder(s, "dump")
+    world(s, d).dump(path)
+    copy = Database(s)
+    copy.restore(path)
+    return copy.table("customer")
+
+
+@query("SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+def format_csv(s, d):
+    return csv_lines(scan(s, d, "nation"))
+
+
+@query("SELECT (SELECT count(*) FROM nation)::BIGINT AS n, 7 * 6 AS product")
+def no_from(s, d):
+    return select(on_tables(s, d, "nation"), "SELECT (SELECT count(*) FROM nation) AS n, 7 * 6 AS product")
+
+
+@query("SELECT a.n_name AS n_name, r_name, b.n_nationkey AS other FROM nation a JOIN region ON a.n_regionkey = r_regionkey JOIN nation b ON b.n_regionkey = r_regionkey")
+def column_references(s, d):
+    """Names with their table, and without where only one table has them."""
+    joined = join_chain(
+        qualify(scan(s, d, "nation"), "a"), (scan(s, d, "region"), c("a.n_regionkey") == c("r_regionkey"), "inner"),
+        (qualify(scan(s, d, "nation"), "b"), c("b.n_regionkey") == c("r_regionkey"), "inner"),
+    )
+    return project(joined, "a.n_name", "r_name", ("other", c("b.n_nationkey")))
+
+
+@query("SELECT n_nationkey, any_value(n_name) AS n_name, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def bare_item(s, d):
+    joined = inner_join(scan(s, d, "customer"), scan(s, d, "nation"), c("c_nationkey") == c("n_nationkey"))
+    return aggregate(joined, {"n_nationkey": c("n_nationkey")}, {"n_name": first_of(c("n_name")), "n": count_all()})
+
+
+@query("SELECT o_orderkey, o_orderdate < TIMESTAMP '1998-06-15 12:00:00' AS past, TIMESTAMP '1998-06-15 12:00:00' AS moment, DATE '1998-06-15' AS today FROM orders")
+def clock_columns(s, d):
+    moment, today = clock(datetime(1998, 6, 15, 12))
+    return project(scan(s, d, "orders"), "o_orderkey", ("past", c("o_orderdate") < moment), ("moment", moment), ("today", today))
+
+
+@query("SELECT count(*) > 0 AS pushed, count(*) < 25 AS narrow FROM nation WHERE n_nationkey = 7")
+def explain_pushdown(s, d):
+    """Whether the plan of a lookup pushes its filter to the files, and reads one column alone."""
+    plan = explain(project(point(scan(s, d, "nation"), "n_nationkey", 7), "n_nationkey"))
+    return aggregate(plan, items={"pushed": max_of(c("plan").contains("EqualTo(n_nationkey,7)")), "narrow": max_of(c("plan").contains("ReadSchema: struct<n_nationkey:int>"))})
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE '%1_'")
+def like_matches(s, d):
+    return project(keep(scan(s, d, "customer"), like(c("c_name"), "%1_")), "c_custkey", "c_name")
+
+
+@query("SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON o_custkey = c_custkey WHERE o_orderkey IS NULL")
+def anti_of_dear_orders(s, d):
+    dear = keep(scan(s, d, "orders"), c("o_totalprice") > 400000)
+    return project(without_match(scan(s, d, "customer"), dear, c("o_custkey") == c("c_custkey")), "c_custkey")
+
+
+@query("""SELECT c_custkey, o_orderkey, o_custkey BETWEEN 5 AND 50 AS inside, o_custkey NOT BETWEEN o_orderkey AND 5 AS outside, o_orderstatus LIKE 'F%' AS alike,
+o_orderpriority NOT LIKE '%-%' AS unlike, o_orderkey NOT IN (1, 2) AS unlisted, o_orderkey NOT IN (1, NULL) AS unsure, c_custkey IN (1, NULL) AS listed
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000""")
+def null_predicates(s, d):
+    joined = left_join(scan(s, d, "customer"), scan(s, d, "orders"), (c("o_custkey") == c("c_custkey")) & (c("o_totalprice") > 400000))
+    return project(
+        joined, "c_custkey", "o_orderkey", ("inside", between(c("o_custkey"), 5, 50)), ("outside", not_between(c("o_custkey"), c("o_orderkey"), 5)), ("alike", like(c("o_orderstatus"), "F%")),
+        ("unlike", not_like(c("o_orderpriority"), "%-%")), ("unlisted", not_in_list(c("o_orderkey"), [1, 2])), ("unsure", not_in_list(c("o_orderkey"), [1, None])), ("listed", in_list(c("c_custkey"), [1, None])),
+    )
+
+
 @query("""SELECT 'INSERT INTO "customer" ("c_custkey", "c_name", "c_nationkey") VALUES (' || c_custkey || ', ''' || replace(c_name, '''', '''''') || ''', ' || c_nationkey || ');' AS statement FROM customer""")
 def export_inserts(s, d):
     return as_inserts(scan(s, d, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -38,3 +40,13 @@ def on_tables(spark: SparkSession, sf_dir: str, *names: str) -> SparkSession:
 def select(own: SparkSession, sql: str, params: list[Any] | None = None):
     """A SELECT as a lazy DataFrame; each ``?`` takes the next parameter, as a value and never as text."""
     return own.sql(sql, args=list(params or []))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that nothing is at yet, below the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only where all run on this machine may the session name none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{shared or tempfile.gettempdir() + '/tallyrock'}/{name}-{uuid.uuid4().hex}"

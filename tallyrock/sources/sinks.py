@@ -27,6 +27,11 @@ def as_inserts(df: DataFrame, table: str) -> DataFrame:
     return df.select(F.concat(F.lit(f'INSERT INTO "{table}" ({names}) VALUES ('), F.concat_ws(", ", *items), F.lit(");")).alias("statement"))
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """Each row as a line of CSV, in a column ``line``."""
+    return df.select(F.to_csv(F.struct("*")).alias("line"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 

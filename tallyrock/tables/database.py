@@ -1,9 +1,10 @@
 """A database of declared tables. Each table is an immutable DataFrame; a statement makes new ones,
 checks constraints over whole sets of rows, and takes effect as a whole or not at all.
 
-With a ``root`` folder (any file system that Spark reaches) each statement writes Parquet
-snapshots, and a commit adds one numbered manifest: the highest number is the database. Two
-commits of one number can't both succeed. Without a root, tables stay lazy DataFrames."""
+With a ``root`` folder (any file system that Spark reaches) a statement's new rows are written as
+Parquet below it, so that later statements read files; an INSERT adds files and rewrites none.
+Without a root, tables stay lazy DataFrames. ``version`` is the state after a statement, to which
+``back_to`` returns; what is to outlive the session is written by ``dump``."""
 
 from __future__ import annotations
 
@@ -15,14 +16,16 @@ from dataclasses import asdict, replace
 from functools import reduce
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintError, SchemaError, TransactionError, ValueTypeError
+from ..errors import ConstraintError, SchemaError, ValueTypeError
 from ..functions.predicates import definitely, is_false
+from ..session import dialect_session
 from .schema import Check, Column_, ForeignKey, Index, Kind, Table, Unique
 
-State = dict[str, tuple[Table, DataFrame, str]]  # declaration, rows, snapshot's path
+State = dict[str, tuple[Table, DataFrame, tuple[str, ...]]]  # declaration, rows, the folders they are in
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -30,143 +33,67 @@ def _all(conditions: list[Column]) -> Column:
 
 
 class Database:
+    """Statements run in a session of their own, under the dialect's settings; its views are its tables."""
+
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root
+        self.spark, self.root = dialect_session(spark), root
         self.state: State = {}
-        self.version = 0
-        self._open: State | None = None
-        self._saved: list[tuple[str, State]] = []
-        self._owner: Any = None
-        if root:
-            self._load()
-
-    # --- storage -----------------------------------------------------------------------------
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def _load(self) -> None:
-        files, path = self._files()
-        files.mkdirs(path(self.root))
-        names = [s.getPath().getName() for s in files.listStatus(path(self.root))]
-        versions = [int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")]
-        self.version = max(versions, default=0)
-        if self.version:
-            text = self.spark.read.option("wholetext", True).text(f"{self.root}/manifest-{self.version}.json").first()[0]
-            for entry in json.loads(text):
-                table = _table(entry["table"])
-                self.state[table.name] = (table, self.spark.read.schema(table.spark()).parquet(entry["path"]), entry["path"])
-
-    def _keep(self, table: Table, rows: DataFrame) -> tuple[Table, DataFrame, str]:
+        #: The last micro-batch of each stream that is in the tables.
+        self.batches: dict[str, int] = {}
+
+    def _keep(self, table: Table, rows: DataFrame, more: DataFrame | None = None, paths: tuple[str, ...] = ()) -> tuple[Table, DataFrame, tuple[str, ...]]:
+        """A table of ``rows``; or of the rows in ``paths`` (``rows``) and ``more``, of which alone is written."""
         if not self.root:
-            return table, rows, ""
+            return table, rows if more is None else rows.unionByName(more), ()
         path = f"{self.root}/{table.name}/{uuid.uuid4().hex}"
+        new = rows if more is None else more
         for index in table.indexes[:1]:
-            rows = rows.sortWithinPartitions(*index.columns)
-        rows.write.parquet(path)
-        return table, self.spark.read.schema(table.spark()).parquet(path), path
-
-    def _commit(self, state: State) -> None:
-        if self.root:
-            files, path = self._files()
-            text = json.dumps([{"table": asdict(t), "path": p} for t, _, p in state.values()], default=str)
-            own = path(f"{self.root}/manifest-{self.version + 1}.json")
-            try:
-                out = files.create(own, False)
-            except Exception as e:
-                raise TransactionError("another writer committed first") from e
-            out.write(bytearray(text.encode()))
-            out.close()
-        self.version += 1
-        self.state = state
+            new = new.sortWithinPartitions(*index.columns)
+        new.write.parquet(path)
+        paths = (path,) if more is None else (*paths, path)
+        return table, self.spark.read.schema(table.spark()).parquet(*paths), paths
 
-    def vacuum(self) -> int:
-        """Delete snapshots and manifests that the current version does not use; returns how many."""
-        if not self.root or self._open is not None:
-            raise TransactionError("vacuum needs a root folder and no open transaction")
-        files, path = self._files()
-        used, gone = {p for _, _, p in self.state.values()}, 0
-        for folder in files.listStatus(path(self.root)):
-            name = folder.getPath().getName()
-            if not folder.isDirectory():
-                if name.startswith("manifest-") and name != f"manifest-{self.version}.json":
-                    gone += files.delete(folder.getPath(), False)
-                continue
-            for snapshot in files.listStatus(folder.getPath()):
-                if f"{self.root}/{name}/{snapshot.getPath().getName()}" not in used:
-                    gone += files.delete(snapshot.getPath(), True)
-        return gone
-
-    # --- transactions ------------------------------------------------------------------------
-
-    def begin(self, owner: Any = None) -> None:
-        if self._open is not None:
-            raise TransactionError("a transaction is open already")
-        self._open, self._saved, self._owner = dict(self.state), [], owner
-
-    def commit(self) -> None:
-        self._commit(self._transaction())
-        self._open, self._saved = None, []
-
-    def rollback(self) -> None:
-        self._transaction()
-        self._open, self._saved = None, []
-
-    def savepoint(self, name: str) -> None:
-        self._saved.append((name, dict(self._transaction())))
-
-    def rollback_to(self, name: str) -> None:
-        """Back to the savepoint, which stays; later ones go."""
-        at = self._savepoint(name)
-        self._open = dict(self._saved[at][1])
-        del self._saved[at + 1 :]
-
-    def release(self, name: str) -> None:
-        """The savepoint and all later ones go; their changes stay."""
-        del self._saved[self._savepoint(name) :]
-
-    def _savepoint(self, name: str) -> int:
-        self._transaction()
-        found = [k for k, (n, _) in enumerate(self._saved) if n == name]
-        if not found:
-            raise TransactionError(f"no savepoint {name}")
-        return found[-1]
-
-    def _transaction(self) -> State:
-        if self._open is None:
-            raise TransactionError("no transaction is open")
-        return self._open
+    # --- versions ----------------------------------------------------------------------------
+
+    def version(self) -> State:
+        """All tables as they are now; later statements do not change it."""
+        return dict(self.state)
+
+    def back_to(self, version: State) -> None:
+        """All tables as they were; what statements did since is no longer seen."""
+        self.state = dict(version)
+
+    @contextmanager
+    def together(self) -> Iterator[None]:
+        """Several statements that take effect all or, if one fails, not at all."""
+        before = self.version()
+        try:
+            yield
+        except BaseException:
+            self.back_to(before)
+            raise
 
     @contextmanager
-    def _statement(self, owner: Any = None) -> Iterator[State]:
+    def _statement(self) -> Iterator[State]:
         """A copy of the state that takes effect if the block ends well."""
-        if self._open is not None and owner is not None and owner is not self._owner:
-            raise TransactionError("another owner's transaction is open")
-        state = dict(self.state if self._open is None else self._open)
+        state = dict(self.state)
         yield state
-        if self._open is None:
-            self._commit(state)
-        else:
-            self._open = state
+        self.state = state
 
     # --- reading -----------------------------------------------------------------------------
 
-    def _now(self) -> State:
-        return self.state if self._open is None else self._open
-
     def tables(self) -> list[str]:
-        return sorted(self._now())
+        return sorted(self.state)
 
     def declaration(self, name: str) -> Table:
-        return self._find(self._now(), name)[0]
+        return self._find(self.state, name)[0]
 
     def table(self, name: str) -> DataFrame:
         """The rows as of now: later statements do not change them."""
-        return self._find(self._now(), name)[1]
+        return self._find(self.state, name)[1]
 
     @staticmethod
-    def _find(state: State, name: str) -> tuple[Table, DataFrame, str]:
+    def _find(state: State, name: str) -> tuple[Table, DataFrame, tuple[str, ...]]:
         if name not in state:
             raise SchemaError(f"no table {name}")
         return state[name]
@@ -189,7 +116,7 @@ class Database:
                 parent = table if key.parent == table.name else self._find(state, key.parent)[0]
                 if set(key.parent_columns) not in [set(k) for k in parent.keys()]:
                     raise SchemaError(f"{key.parent} has no key on {', '.join(key.parent_columns)}")
-            state[table.name] = self._keep(table, self.spark.createDataFrame([], table.spark()))
+            state[table.name] = (table, self.spark.createDataFrame([], table.spark()), ())
 
     def drop_table(self, name: str, if_exists: bool = False) -> None:
         with self._statement() as state:
@@ -214,7 +141,7 @@ class Database:
         with self._statement() as state:
             table, rows, _ = self._find(state, name)
             users = [g for g in (*table.unique, *table.foreign, *table.indexes) if column in g.columns]
-            users += [c for c in table.checks if column in c.sql]
+            users += [c for c in table.checks if not self._resolves(rows.drop(column), c.sql)]
             users += [f for t, _, _ in state.values() for f in t.foreign if f.parent == name and column in f.parent_columns]
             if users:
                 raise SchemaError(f"{column} is used by {users[0]}")
@@ -223,6 +150,14 @@ class Database:
             table = replace(table, columns=tuple(c for c in table.columns if c.name != column))
             state[name] = self._keep(table, rows.drop(column))
 
+    @staticmethod
+    def _resolves(rows: DataFrame, sql: str) -> bool:
+        """Whether an expression needs no other columns than those of the rows."""
+        try:
+            return bool(rows.select(F.expr(sql)).columns)
+        except AnalysisException:
+            return False
+
     def create_index(self, name: str, index: Index) -> None:
         """Later scans of a stored table find its files sorted by the index's columns."""
         with self._statement() as state:
@@ -231,7 +166,7 @@ class Database:
                 raise SchemaError(f"index {index.name} is there already")
             table = replace(table, indexes=(index, *table.indexes))
             if index.unique:
-                self._check_unique(table, rows, None)
+                self._check_unique(table, rows)
             state[name] = self._keep(table, rows)
 
     def drop_index(self, name: str, index: str) -> None:
@@ -243,21 +178,19 @@ class Database:
 
     # --- changes -----------------------------------------------------------------------------
 
-    def insert(self, name: str, rows: DataFrame | list[tuple], columns: list[str] | None = None, owner: Any = None) -> int:
+    def insert(self, name: str, rows: DataFrame | list[tuple], columns: list[str] | None = None) -> int:
         """Add rows; columns that are left out get their defaults. Returns the number of rows."""
-        with self._statement(owner) as state:
-            table, old, _ = self._find(state, name)
+        with self._statement() as state:
+            table, old, paths = self._find(state, name)
             columns = columns or table.names
             if not isinstance(rows, DataFrame):
                 rows = self._literal(rows, columns)
             if len(rows.columns) != len(columns) or set(columns) - set(table.names):
                 raise SchemaError(f"{name}: columns and values do not match")
-            new = self._cast(table, rows.toDF(*columns))
-            count = self._check_rows(table, new)
-            self._check_unique(table, old.unionByName(new), new)
-            all_rows = old.unionByName(new)
-            self._check_parents(state, table, new, all_rows)
-            state[name] = self._keep(table, all_rows)
+            new, count = self._checked(table, rows.toDF(*columns))
+            self._check_unique(table, old, new)
+            state[name] = self._keep(table, old, new, paths)
+            self._check_parents(state, table, new, state[name][1])
             return count
 
     def _literal(self, rows: list[tuple], columns: list[str]) -> DataFrame:
@@ -272,104 +205,124 @@ class Database:
         frame = self.spark.createDataFrame([tuple(r[k] for k in known) for r in rows], [columns[k] for k in known])
         return frame.select(*(F.col(f"`{c}`") if k in known else F.lit(None).cast("string").alias(c) for k, c in enumerate(columns)))
 
-    def _cast(self, table: Table, rows: DataFrame) -> DataFrame:
-        """Rows in the table's types and order; a value that does not fit raises."""
+    def _checked(self, table: Table, rows: DataFrame, kept: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+        """Rows in the table's types and order, with the columns ``kept`` behind, and their number.
+
+        A value that does not fit raises, and so does a row that breaks NOT NULL or CHECK; all of
+        that is one pass over the rows."""
         given = {f.name: f.dataType for f in rows.schema.fields}
-        out, bad = [], []
+        one, out, tests = self.spark.range(1), [], {}
         for c in table.columns:
             if c.name in given:
                 value, fits = c.kind.cast(F.col(f"`{c.name}`"), given[c.name])
-                bad.append(F.max(F.col(f"`{c.name}`").isNotNull() & ~F.coalesce(fits, F.lit(False))).alias(c.name))
+                tests[c.name] = F.col(f"`{c.name}`").isNotNull() & ~F.coalesce(fits, F.lit(False))
             else:
-                value, _ = c.kind.cast(F.lit(c.default), self.spark.range(1).select(F.lit(c.default)).schema[0].dataType)
+                value, _ = c.kind.cast(F.lit(c.default), one.select(F.lit(c.default)).schema[0].dataType)
             out.append(value.cast(c.kind.spark()).alias(c.name))
-        found = rows.agg(*bad).first().asDict()
-        if wrong := [n for n, b in found.items() if b]:
-            raise ValueTypeError(f"{table.name}.{wrong[0]}: a value is no {next(c.kind for c in table.columns if c.name == wrong[0])}")
-        return rows.select(*out)
-
-    def _check_rows(self, table: Table, rows: DataFrame) -> int:
-        """NOT NULL and CHECK in one pass; returns the number of rows."""
-        tests = {f"{c.name} is null": F.col(f"`{c.name}`").isNull() for c in table.columns if c.not_null}
-        tests |= {f"CHECK ({c.sql})": is_false(F.expr(c.sql)) for c in table.checks}
-        got = rows.agg(F.count(F.lit(1)).alias("_n"), *(F.max(t).alias(f"_{k}") for k, t in enumerate(tests.values()))).first()
-        for k, name in enumerate(tests):
-            if got[f"_{k}"]:
+        new = rows.select(*out, *kept)
+        rules = self._rules(table)
+        marked = rows.select(*out, *(t.alias(f"_misfit_{n}") for n, t in tests.items()))
+        flags = [F.max(f"_misfit_{n}").alias(f"_misfit_{n}") for n in tests] + [F.max(r).alias(f"_rule_{k}") for k, r in enumerate(rules.values())]
+        got = marked.agg(F.count(F.lit(1)).alias("_n"), *flags).first()
+        for c in table.columns:
+            if c.name in tests and got[f"_misfit_{c.name}"]:
+                raise ValueTypeError(f"{table.name}.{c.name}: a value is no {c.kind}")
+        self._raise(table, rules, got)
+        return new, got["_n"]
+
+    @staticmethod
+    def _rules(table: Table) -> dict[str, Column]:
+        """What no row may do, by name."""
+        return {f"{c.name} is null": F.col(f"`{c.name}`").isNull() for c in table.columns if c.not_null} | {f"CHECK ({c.sql})": is_false(F.expr(c.sql)) for c in table.checks}
+
+    @staticmethod
+    def _raise(table: Table, rules: dict[str, Column], got: Any) -> None:
+        for k, name in enumerate(rules):
+            if got[f"_rule_{k}"]:
                 raise ConstraintError(f"{table.name}: {name}")
-        return got["_n"]
 
-    def _check_unique(self, table: Table, rows: DataFrame, changed: DataFrame | None) -> None:
-        """No key twice; only keys of changed rows need a look."""
+    def _check_rows(self, table: Table, rows: DataFrame) -> None:
+        """NOT NULL and CHECK in one pass."""
+        if rules := self._rules(table):
+            self._raise(table, rules, rows.agg(*(F.max(r).alias(f"_rule_{k}") for k, r in enumerate(rules.values()))).first())
+
+    def _check_unique(self, table: Table, others: DataFrame, changed: DataFrame | None = None, columns: set[str] | None = None) -> None:
+        """No key twice among ``others`` and the ``changed`` rows; only keys of changed rows need a
+        look, and only those with one of ``columns``, if that is given."""
         for key in table.keys():
-            known = rows.select(*key).dropna()
+            if columns is not None and not columns & set(key):
+                continue
+            known = others.select(*key).dropna()
             if changed is not None:
-                known = known.join(changed.select(*key).dropna().distinct(), list(key), "left_semi")
+                new = changed.select(*key).dropna()
+                known = known.join(new, list(key), "left_semi").unionByName(new)
             if not known.groupBy(*key).count().where("count > 1").isEmpty():
                 raise ConstraintError(f"{table.name}: two rows have the same {', '.join(key)}")
 
-    def _check_parents(self, state: State, table: Table, rows: DataFrame, own: DataFrame) -> None:
+    def _check_parents(self, state: State, table: Table, rows: DataFrame, own: DataFrame, columns: set[str] | None = None) -> None:
         for f in table.foreign:
+            if columns is not None and not columns & set(f.columns):
+                continue
             parent = own if f.parent == table.name else self._find(state, f.parent)[1]
             wanted = rows.select(*f.columns).dropna().distinct()
             keys = parent.select(*f.parent_columns).toDF(*f.columns)
             if not wanted.join(keys, list(f.columns), "left_anti").isEmpty():
                 raise ConstraintError(f"{table.name}: no row of {f.parent} for {', '.join(f.columns)}")
 
-    def update(self, name: str, changes: dict[str, Column | Any], where: Column | None = None, owner: Any = None) -> int:
-        """Set columns from expressions over the old row. Returns the number of rows that matched."""
-        with self._statement(owner) as state:
+    def update(self, name: str, changes: dict[str, Column | Any], where: Column | None = None) -> int:
+        """Set columns from expressions over the old row. Returns the number of rows that matched.
+
+        Keys and references are looked at only if one of their columns is set."""
+        with self._statement() as state:
             table, old, _ = self._find(state, name)
             if unknown := set(changes) - set(table.names):
                 raise SchemaError(f"{name} has no column {', '.join(sorted(unknown))}")
             hit = definitely(where) if where is not None else F.lit(True)
             exprs = {c: v if isinstance(v, Column) else F.lit(v) for c, v in changes.items()}
-            matched = old.where(hit)
-            before = {c: F.col(f"`{c}`").alias(f"_old_{c}") for c in table.names}
-            raw = matched.select(*(exprs.get(c, F.col(f"`{c}`")).alias(c) for c in table.names), *before.values())
-            new = self._cast_kept(table, raw, list(before))
-            count = self._check_rows(table, new)
-            rows = old.where(~hit).unionByName(new.select(*table.names))
-            self._check_unique(table, rows, new)
-            self._check_parents(state, table, new, rows)
-            state[name] = self._keep(table, rows)
-            self._after_update(state, table, new)
+            before = tuple(f"_old_{c}" for c in table.names)
+            raw = old.where(hit).select(*(exprs.get(c, F.col(f"`{c}`")).alias(c) for c in table.names), *(F.col(f"`{c}`").alias(f"_old_{c}") for c in table.names))
+            new, count = self._checked(table, raw, before)
+            rest = old.where(~hit)
+            self._check_unique(table, rest, new, set(changes))
+            state[name] = self._keep(table, rest.unionByName(new.select(*table.names)))
+            self._after_update(state, table, new, set(changes))
+            self._check_parents(state, table, new, state[name][1], set(changes))
             return count
 
-    def _cast_kept(self, table: Table, raw: DataFrame, kept: list[str]) -> DataFrame:
-        given = {f.name: f.dataType for f in raw.schema.fields}
-        casts = {c.name: c.kind.cast(F.col(f"`{c.name}`"), given[c.name]) for c in table.columns}
-        found = raw.agg(*(F.max(F.col(f"`{n}`").isNotNull() & ~F.coalesce(fits, F.lit(False))).alias(n) for n, (_, fits) in casts.items())).first().asDict()
-        if wrong := [n for n, b in found.items() if b]:
-            raise ValueTypeError(f"{table.name}.{wrong[0]}: a value does not fit")
-        return raw.select(*(v.cast(table.spark()[n].dataType).alias(n) for n, (v, _) in casts.items()), *(f"_old_{c}" for c in kept))
-
-    def _after_update(self, state: State, table: Table, new: DataFrame) -> None:
-        """Rows that referenced a changed key follow it, are set null, or forbid the change."""
-        for child_name, (child, _, _) in list(state.items()):
-            for f in (f for f in child.foreign if f.parent == table.name):
-                moved = _all([F.col(f"`{c}`").eqNullSafe(F.col(f"_old_{c}")) for c in f.parent_columns])
-                pairs = new.where(~moved).select(*(F.col(f"_old_{c}").alias(f"_from_{k}") for k, c in enumerate(f.parent_columns)), *(F.col(f"`{c}`").alias(f"_to_{k}") for k, c in enumerate(f.parent_columns)))
-                if not set(f.parent_columns) or pairs.isEmpty():
-                    continue
-                rows = state[child_name][1]
-                on = _all([F.col(f"`{c}`") == F.col(f"_from_{k}") for k, c in enumerate(f.columns)])
-                still = state[table.name][1].select(*f.parent_columns).toDF(*(f"_from_{k}" for k in range(len(f.columns))))
-                pairs = pairs.join(still, list(still.columns), "left_anti")  # another row may have taken the old key
-                if f.on_update == "restrict":
-                    if not rows.join(pairs, on, "left_semi").isEmpty():
-                        raise ConstraintError(f"{child_name} references a changed key of {table.name}")
-                    continue
-                joined = rows.join(pairs, on, "left")
-                met = F.col("_from_0").isNotNull()
-                values = {c: F.when(met, F.col(f"_to_{k}") if f.on_update == "cascade" else F.lit(None)).otherwise(F.col(f"`{c}`")) for k, c in enumerate(f.columns)}
-                after = joined.select(*(values.get(c, F.col(f"`{c}`")).cast(child.spark()[c].dataType).alias(c) for c in child.names))
-                self._check_rows(child, after)
-                self._check_unique(child, after, None)
-                state[child_name] = self._keep(child, after)
-
-    def delete(self, name: str, where: Column | None = None, owner: Any = None) -> int:
+    def _after_update(self, state: State, table: Table, new: DataFrame, columns: set[str]) -> None:
+        """Rows that referenced a changed key follow it, are set null, or forbid the change; then
+        those that referenced such a row's changed key, level by level."""
+        frontier = [(table, new, columns, 0)]
+        while frontier:
+            parent, moved, columns, depth = frontier.pop(0)
+            for child_name, (child, _, _) in list(state.items()):
+                for f in (f for f in child.foreign if f.parent == parent.name and columns & set(f.parent_columns)):
+                    same = _all([F.col(f"`{c}`").eqNullSafe(F.col(f"_old_{c}")) for c in f.parent_columns])
+                    sides = {f"_from_{k}": F.col(f"_old_{c}") for k, c in enumerate(f.parent_columns)} | {f"_to_{k}": F.col(f"`{c}`") for k, c in enumerate(f.parent_columns)}
+                    pairs = moved.where(~same).select(*(v.alias(k) for k, v in sides.items()))
+                    rows = state[child_name][1]
+                    on = _all([F.col(f"`{c}`") == F.col(f"_from_{k}") for k, c in enumerate(f.columns)])
+                    if f.on_update == "restrict":
+                        still = state[parent.name][1].select(*f.parent_columns).toDF(*(f"_from_{k}" for k in range(len(f.columns))))
+                        lost = pairs.join(still, list(still.columns), "left_anti")  # another row may have taken the old key
+                        if not rows.join(lost, on, "left_semi").isEmpty():
+                            raise ConstraintError(f"{child_name} references a changed key of {parent.name}")
+                        continue
+                    if depth > len(state):
+                        raise ConstraintError(f"{child_name}: references that cascade run in a circle")
+                    values = {c: F.col(f"_to_{k}") if f.on_update == "cascade" else F.lit(None) for k, c in enumerate(f.columns)}
+                    after = rows.join(pairs, on).select(*(values.get(c, F.col(f"`{c}`")).cast(child.spark()[c].dataType).alias(c) for c in child.names), *(F.col(f"`{c}`").alias(f"_old_{c}") for c in child.names))
+                    if after.isEmpty():
+                        continue
+                    rest = rows.join(pairs, on, "left_anti")
+                    self._check_rows(child, after)
+                    self._check_unique(child, rest, after, set(f.columns))
+                    state[child_name] = self._keep(child, rest.unionByName(after.select(*child.names)))
+                    frontier.append((child, after, set(f.columns), depth + 1))
+
+    def delete(self, name: str, where: Column | None = None) -> int:
         """Delete rows, and what their deletion reaches. Returns the number of rows deleted from ``name``."""
-        with self._statement(owner) as state:
+        with self._statement() as state:
             table, rows, _ = self._find(state, name)
             hit = definitely(where) if where is not None else F.lit(True)
             gone = rows.where(hit)
@@ -409,7 +362,7 @@ class Database:
     def in_order(self) -> list[str]:
         """Tables with parents before children."""
         out: list[str] = []
-        rest = {t.name: {f.parent for f in t.foreign} - {t.name} for t, _, _ in self._now().values()}
+        rest = {t.name: {f.parent for f in t.foreign} - {t.name} for t, _, _ in self.state.values()}
         while rest:
             free = sorted(n for n, parents in rest.items() if parents <= set(out)) or sorted(rest)[:1]
             out += free
@@ -418,31 +371,38 @@ class Database:
 
     def dump(self, path: str) -> None:
         """Declarations and rows of all tables as Parquet below ``path``."""
-        text = json.dumps([asdict(self.declaration(n)) for n in self.in_order()], default=str)
-        self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{path}/declarations")
+        text = json.dumps({"tables": [asdict(self.declaration(n)) for n in self.in_order()], "batches": self.batches}, default=lambda v: v.hex() if isinstance(v, (bytes, bytearray)) else str(v))
         for name in self.tables():
             self.table(name).write.parquet(f"{path}/rows/{name}")
+        self.spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.text(f"{path}/declarations")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> Database:
+        """The tables of a dump as they lie there; statements go on from them in this session."""
+        db = cls(spark)
+        found = json.loads(db.spark.read.text(f"{path}/declarations").first()[0])
+        for table in map(_table, found["tables"]):
+            db.state[table.name] = (table, db.spark.read.schema(table.spark()).parquet(f"{path}/rows/{table.name}"), ())
+        db.batches = found["batches"]
+        return db
 
     def restore(self, path: str) -> int:
-        """Create and fill the tables of a dump in one transaction; returns the number of rows."""
-        found = json.loads(self.spark.read.text(f"{path}/declarations").first()[0])
-        self.begin()
-        try:
-            for entry in found:
-                self.create_table(_table(entry))
-            count = sum(self.insert(e["name"], self.spark.read.schema(_table(e).spark()).parquet(f"{path}/rows/{e['name']}")) for e in found)
-        except BaseException:
-            self.rollback()
-            raise
-        self.commit()
+        """Create and fill the tables of a dump, all or none, under their constraints; returns the number of rows."""
+        other = Database.stored(self.spark, path)
+        with self.together():
+            for name in other.in_order():
+                self.create_table(other.declaration(name))
+            count = sum(self.insert(name, other.table(name)) for name in other.in_order())
+            self.batches |= other.batches
         return count
 
 
 def _table(entry: dict) -> Table:
     names = lambda g: {k: tuple(v) if isinstance(v, list) else v for k, v in g.items()}
+    default = lambda c: bytes.fromhex(c["default"]) if c["kind"]["name"] == "BLOB" and c["default"] is not None else c["default"]
     return Table(
         entry["name"],
-        tuple(Column_(c["name"], Kind(**c["kind"]), c["not_null"], c["default"]) for c in entry["columns"]),
+        tuple(Column_(c["name"], Kind(**c["kind"]), c["not_null"], default(c)) for c in entry["columns"]),
         tuple(Unique(**names(u)) for u in entry["unique"]),
         tuple(Check(**c) for c in entry["checks"]),
         tuple(ForeignKey(**names(f)) for f in entry["foreign"]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
@@ -12,6 +13,17 @@ from pyspark.sql import types as T
 from ..errors import SchemaError
 
 
+def sql_text(value: Any) -> str:
+    """A value as an SQL literal."""
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{value.hex().upper()}'"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 @dataclass(frozen=True)
 class Kind:
     """A column type: its name, and a length or precision and scale."""
@@ -156,7 +168,7 @@ class Table:
     def ddl(self) -> str:
         """CREATE TABLE text, for people and other engines."""
         q = lambda names: ", ".join(f'"{n}"' for n in names)
-        parts = [f'"{c.name}" {c.kind}' + " NOT NULL" * c.not_null + (f" DEFAULT {c.default!r}" if c.default is not None else "") for c in self.columns]
+        parts = [f'"{c.name}" {c.kind}' + " NOT NULL" * c.not_null + (f" DEFAULT {sql_text(c.default)}" if c.default is not None else "") for c in self.columns]
         parts += [("PRIMARY KEY" if u.primary else "UNIQUE") + f" ({q(u.columns)})" for u in self.unique]
         parts += [f"CHECK ({c.sql})" for c in self.checks]
         parts += [f'FOREIGN KEY ({q(f.columns)}) REFERENCES "{f.parent}" ({q(f.parent_columns)}) ON DELETE {f.on_delete.upper()} ON UPDATE {f.on_update.upper()}' for f in self.foreign]

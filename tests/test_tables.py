@@ -1,4 +1,4 @@
-"""Declared tables: types, constraints, DML with cascades, transactions, storage."""
+"""Declared tables: types, constraints, DML with cascades, versions, storage."""
 
 import datetime as dt
 from decimal import Decimal
@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrock.errors import ConstraintError, SchemaError, TransactionError, ValueTypeError
+from tallyrock.errors import ConstraintError, SchemaError, ValueTypeError
 from tallyrock.streaming import ingest
 from tallyrock.tables import BIGINT, BLOB, BOOL, DATE, DATETIME, DECIMAL, INT, VARCHAR, Check, Column_, Database, ForeignKey, Index, Table, Unique
 
@@ -143,51 +143,72 @@ def test_declarations(spark):
             bad()
 
 
-def test_transactions(spark):
+def test_versions(spark):
     db = blog(Database(spark))
-    db.begin(owner="me")
-    with pytest.raises(TransactionError):
-        db.begin()
-    with pytest.raises(TransactionError):
-        db.delete("comments", owner="you")
-    db.delete("comments", owner="me")
-    db.savepoint("a")
+    first = db.version()
+    db.delete("comments")
+    second = db.version()
     db.delete("posts")
-    db.savepoint("b")
-    db.rollback_to("a")
-    with pytest.raises(TransactionError):
-        db.rollback_to("b")
+    db.back_to(second)
     assert len(rows(db, "posts")) == 3 and rows(db, "comments") == []
-    db.release("a")
-    with pytest.raises(TransactionError):
-        db.rollback_to("a")
-    db.rollback()
+    with pytest.raises(ConstraintError), db.together():  # all or none
+        db.insert("comments", [(200, 10)])
+        db.insert("comments", [(201, 99)])
+    assert rows(db, "comments") == []
+    db.back_to(first)
     assert len(rows(db, "comments")) == 3
-    for bad in (db.commit, db.rollback, lambda: db.savepoint("x")):
-        with pytest.raises(TransactionError):
-            bad()
+
+
+def test_update_to_every_level(spark):
+    db = blog(Database(spark))
+    db.update("authors", {"id": c("id") + 1})
+    assert rows(db, "posts") == [(10, 2, 5), (11, 2, 7), (12, 3, 0)]  # each follows its own author
+    db.update("authors", {"id": F.lit(5) - c("id")})  # a swap
+    assert rows(db, "posts") == [(10, 3, 5), (11, 3, 7), (12, 2, 0)]
+    for action in ("cascade", "restrict", "set null"):
+        db = Database(spark)
+        db.create_table(Table("p", (Column_("id", INT),), PK))
+        db.create_table(Table("c", (Column_("id", INT),), PK, (), (ForeignKey(("id",), "p", ("id",), "restrict", "cascade"),)))
+        db.create_table(Table("g", (Column_("up", INT),), (), (), (ForeignKey(("up",), "c", ("id",), "restrict", action),)))
+        for name in "pcg":
+            db.insert(name, [(1,)])
+        if action == "restrict":
+            with pytest.raises(ConstraintError):
+                db.update("p", {"id": 5})
+            assert [rows(db, n) for n in "pcg"] == [[(1,)]] * 3
+        else:
+            db.update("p", {"id": 5})
+            assert [rows(db, n) for n in "pcg"] == [[(5,)], [(5,)], [(5,) if action == "cascade" else (None,)]]
+
+
+def test_columns_that_checks_read(spark):
+    db = Database(spark)
+    db.create_table(Table("t", (Column_("id", INT), Column_("bal", INT), Column_("balance", INT), Column_("note", VARCHAR(9), default="it's")), PK, (Check("balance >= 0 AND length('bal') = 3"),)))
+    with pytest.raises(SchemaError):
+        db.drop_column("t", "balance")
+    db.drop_column("t", "bal")
+    assert db.table("t").columns == ["id", "balance", "note"] and "DEFAULT 'it''s'" in db.declaration("t").ddl()
 
 
 def test_storage(spark, tmp_path):
-    root = str(tmp_path / "db")
-    db = blog(Database(spark, root))
-    before = db.table("authors")
-    other = Database(spark, root)
-    assert rows(other, "posts") == rows(db, "posts") and other.declaration("posts") == db.declaration("posts")
-    db.begin()
+    db = blog(Database(spark, str(tmp_path / "db")))
+    before, files = db.table("authors"), len(db.table("comments").inputFiles())
+    db.insert("comments", [(103, 12)])
+    assert set(db.state["comments"][2]) > set() and len(db.table("comments").inputFiles()) > files  # files are added, none rewritten
     db.delete("authors", c("id") == 1)
-    assert len(rows(Database(spark, root), "authors")) == 2  # not yet
-    db.commit()
-    assert rows(Database(spark, root), "authors") == [(2, "Bob")]
-    assert before.count() == 2  # a snapshot stays as it was
-    with pytest.raises(TransactionError):  # lost the race
-        other.insert("authors", [(7, "Late")])
-    assert db.vacuum() > 0 and rows(Database(spark, root), "authors") == [(2, "Bob")]
+    assert rows(db, "authors") == [(2, "Bob")] and before.count() == 2  # a table read before stays as it was
+    db.create_table(Table("b", (Column_("x", BLOB, default=b"a\x00"), Column_("d", DATE, default=dt.date(2024, 1, 2)), Column_("id", INT))))
     db.dump(str(tmp_path / "dump"))
+    other = Database.stored(spark, str(tmp_path / "dump"))
+    assert rows(other, "posts") == rows(db, "posts") and other.declaration("posts") == db.declaration("posts")
+    other.insert("b", [(1,)], ["id"])
+    assert rows(other, "b") == [(bytearray(b"a\x00"), dt.date(2024, 1, 2), 1)]
     copy = Database(spark, str(tmp_path / "copy"))
-    assert copy.restore(str(tmp_path / "dump")) == 3
-    assert rows(copy, "posts") == rows(db, "posts") and copy.in_order() == ["authors", "posts", "comments"]
+    assert copy.restore(str(tmp_path / "dump")) == 4
+    assert rows(copy, "posts") == rows(db, "posts") and copy.in_order() == ["authors", "b", "posts", "comments"]
     assert [tuple(r) for r in copy.select("SELECT name FROM authors WHERE id = ?", [2]).collect()] == [("Bob",)]
+    with pytest.raises(SchemaError):  # the tables are there already
+        copy.restore(str(tmp_path / "dump"))
 
 
 def test_ingest(spark, tmp_path):
@@ -197,3 +218,6 @@ def test_ingest(spark, tmp_path):
     stream = spark.readStream.schema("id int, name string").parquet(str(tmp_path / "in"))
     ingest(db, "t", stream, str(tmp_path / "check")).awaitTermination()
     assert rows(db, "t") == [(1, "x"), (2, "y")]
+    db.batches[str(tmp_path / "again")] = 0  # this batch is in the tables already
+    ingest(db, "t", stream, str(tmp_path / "again")).awaitTermination()
+    assert rows(db, "t") == [(1, "x"), (2, "y")]
