@@ -122,31 +122,42 @@ def running_totals(df: DataFrame, order: list[str], sizes: dict[str, str], name:
     return joined.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in names}).drop("_part", *(f"_before_{n}" for n in names))
 
 
+#: Narrow rows that a task takes up without effort, and tasks that there are at least.
+EASY_ROWS, EASY_TASKS = 1 << 20, 8
+
+
+def few_tasks(count: int) -> int:
+    """As many tasks as so many narrow rows ask for: steps that follow a shuffle of them need no more."""
+    return max(EASY_TASKS, -(-count // EASY_ROWS))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(id, component) for each id on an edge (a, b); the component is its smallest id.
+    """(id, component) for each id on an edge (a, b); the component is its smallest id. A written table.
 
     Alternating large-star and small-star rounds: each is an aggregate and a join over the
-    edges, the edges never grow, and rounds are logarithmic in a component's size. Every round
-    ends in a table in the shared folder."""
+    edges, the edges never grow, and rounds are logarithmic in a component's size; the last leaves
+    every id with one edge, to an id that has none itself. Every step ends in a table in the shared
+    folder, written by no more tasks than its rows ask for."""
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
-    if now.isEmpty():
-        return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    few = EASY_TASKS
+    while count := now.count():
+        few = few_tasks(count)
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        if ends.coalesce(few).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").coalesce(few).isEmpty():
+            break
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(few)
         # written, so that the joins have two plain exchanges and Spark can split a hub's edges
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"{name}-least")
-        large = saved(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), f"{name}-large")
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(few), f"{name}-least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few)
+        large = saved(large.distinct().coalesce(few), f"{name}-large")
         forget(now, least)
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(few), f"{name}-least")
         met = large.join(least, "u")
-        small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = saved(small, name)
+        small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").coalesce(few)
+        now = saved(small.distinct().coalesce(few), name)
         forget(large, least)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        seen = state
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).coalesce(few).union(now.select("v", "v").distinct().coalesce(few))
+    return saved(found, f"{name}-found")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], key: str, rows: int, size: int = 1 << 62) -> Iterator[pa.Table]:

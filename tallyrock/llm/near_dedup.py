@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import by_key, components, documents, saved, small_batches
+from ._shared import by_key, components, documents, few_tasks, saved, small_batches
 from ._text import LOWER, STEP, U64, chunks, hashes, mix, shingles, utf8, words
 
 #: Minima of a signature. The first BANDS * ROWS make the bands: at similarity 0.80 a pair shares no band
@@ -185,9 +185,12 @@ def nearest_hubs(members: DataFrame, classes: DataFrame, least: float) -> DataFr
     """(id, hub): of the hubs of its buckets the one that is nearest to a class by estimate, at ``least`` or more.
 
     A bucket's hub is the member with most company in all of its buckets."""
-    weight = saved(members.groupBy("id").agg(F.sum("company").alias("weight")), "near-weights")
-    hubs = saved(members.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")).select("band", (-F.col("top.minus")).alias("hub")), "near-hubs")
-    pairs = saved(members.join(hubs, "band").where("id <> hub").select("id", "hub").distinct(), "near-hub-pairs")
+    few = few_tasks(members.count())
+    weight = members.coalesce(few).groupBy("id").agg(F.sum("company").alias("weight"))
+    top = F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top")
+    # written, so that the join below has two plain exchanges and Spark can split a hot key's rows
+    hubs = saved(members.join(weight, "id").coalesce(few).groupBy("band").agg(top).select("band", (-F.col("top.minus")).alias("hub")).coalesce(few), "near-hubs")
+    pairs = members.join(hubs, "band").where("id <> hub").select("id", "hub").coalesce(few).distinct().coalesce(few)
     signed = classes.select("id", "bits")
     both = pairs.join(signed.withColumnRenamed("bits", "own"), "id").join(signed.select(F.col("id").alias("hub"), F.col("bits").alias("other")), "hub")
 
@@ -201,15 +204,17 @@ def nearest_hubs(members: DataFrame, classes: DataFrame, least: float) -> DataFr
 
 
 def _best(found: DataFrame) -> DataFrame:
-    return found.groupBy("id").agg(F.max(F.struct("near", (-F.col("other")).alias("minus"))).alias("top")).select("id", (-F.col("top.minus")).alias("hub"))
+    top = F.max(F.struct("near", (-F.col("other")).alias("minus"))).alias("top")
+    return found.groupBy("id").agg(top).select("id", (-F.col("top.minus")).alias("hub"))
 
 
 def still_open(members: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """(band, id, component) of the buckets that hold several components; a written table."""
     own = members.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    labelled = saved(own, name)
+    few = few_tasks(members.count())
+    labelled = saved(own.coalesce(few), name)
     several = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
-    return saved(labelled.join(several, "band"), name)
+    return saved(labelled.join(several.coalesce(few), "band").coalesce(few), name)
 
 
 def _compared(still: DataFrame, classes: DataFrame, least: float, nearest: bool) -> DataFrame:
@@ -261,9 +266,11 @@ def linked(docs: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     a task holds the set of one hub at a time, and a batch of texts."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("long").alias("_blocks"))
-    pairs = saved(pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("block")), "near-pairs")
-    hubs = pairs.select(F.col("hub").alias("id"), "hub", "block").distinct()
+    pairs = saved(pairs, "near-chosen")
+    few = few_tasks(pairs.count())
+    sizes = pairs.coalesce(few).groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).cast("long").alias("_blocks")).coalesce(few)
+    pairs = saved(pairs.join(sizes, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("_blocks")).alias("block")).coalesce(few), "near-pairs")
+    hubs = pairs.select(F.col("hub").alias("id"), "hub", "block").coalesce(few).distinct().coalesce(few)
     rows = texts.join(pairs.withColumn("role", F.lit(1)).unionByName(hubs.withColumn("role", F.lit(0))), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,12 +384,12 @@ def _components(docs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     bound = least / 100 - MARGIN
     members = buckets(classes)
     links = linked(docs, nearest_hubs(members, classes, bound), least)
-    found = saved(components(links, "near-stars"), "near-found")
+    found = components(links, "near-stars")
     still = still_open(members, found, "near-open")
     if still.isEmpty():
         return found
     links = links.union(linked(docs, _best(_compared(still, classes, bound, True)), least))
-    found = saved(components(links, "near-chains"), "near-found")
+    found = components(links, "near-chains")
     still = still_open(members, found, "near-open")
     if still.isEmpty():
         return found
