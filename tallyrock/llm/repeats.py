@@ -327,7 +327,7 @@ class Repeats:
         whole, zero = (F.col("n") + self.length - 1).cast("long"), F.lit(0).cast("long")
         rows = strings.where("many > 1")
         if groups:
-            return rows.select("bucket", "string", zero.alias("off"), F.xxhash64("string").alias("repeat"), whole.alias("size"))
+            return rows.select("bucket", "string", zero.alias("off"), F.col("string").alias("repeat"), whole.alias("size"))  # named as in the arrays
         return rows.select("bucket", "string", zero.alias("begin"), whole.alias("stop"))
 
     def _found(self, groups: bool) -> DataFrame:
