@@ -3,15 +3,17 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``,
 with any further columns untouched; the last returns the packed pieces. The
 order in which a stage's rows are written counts: stage 4 sets it, and stage 5 numbers its
-sequences by it. Null or empty texts,
-empty tables, repeated rows and null ids are handled as each operator's docstring says."""
+sequences by it. What
+null, empty and very long texts, ties, repeated rows, null ids, empty tables and columns with
+clashing names give is said by the docstrings of the operators: ``score_quality``, ``dedup_lines``,
+``near_duplicates``, ``mix_positions`` and ``pack_in_order``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrock.llm._shared import documents, saved
+from tallyrock.llm._shared import ROW, documents, keyed, saved
 from tallyrock.llm.line_dedup import dedup_lines
 from tallyrock.llm.mixing import mix
 from tallyrock.llm.near_dedup import near_duplicates
@@ -39,9 +41,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs.select("doc_id", "text"), NEAR).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each group of near duplicates (similarity 0.8 or more) the document with the smallest doc_id stays.
+
+    Of rows that repeat its doc_id, the one stored first; rows without an id all stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), NEAR).where("kept")
+    kept = saved(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "near-kept")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    more = kept.where("_n > 1 AND _id IS NOT NULL")
+    if more.isEmpty():
+        return docs.join(kept, same, "left_semi")
+    rows = keyed(docs)
+    first = rows.join(more, same).groupBy("_id").agg(F.min(F.struct(*ROW)).alias("first")).select("first.*")
+    return docs.join(kept.where("_n = 1 OR _id IS NULL"), same, "left_semi").unionByName(rows.join(first, ROW, "left_semi").select(*docs.columns))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
