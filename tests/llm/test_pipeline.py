@@ -72,3 +72,10 @@ def test_near_dedup_from_eighty(spark, sf):
     assert left == {3 * k + j for k in range(40) for j in (0, 2)}
     assert (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS < 1e-5
     assert near_dedup.near_duplicates(docs, 85).where("kept").count() == len(rows)
+
+
+def test_near_dedup_keeps_one_row_of_an_id(spark, sf, docs):
+    stored = saved(docs, "test-repeated")
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, stored, sf).select("doc_id").collect()
+    ids = [r[0] for r in left if r[0] is not None]
+    assert len(ids) == len(set(ids)) and None in {r[0] for r in left}
