@@ -324,10 +324,11 @@ def distinct_rows(s, d):
 
 @query("SELECT p_brand, min(p_retailprice) AS least FROM part GROUP BY p_brand ORDER BY least, p_brand LIMIT 5")
 def distinct_order_unselected(s, d):
-    ranked = distinct_ordered(scan(s, d, "part"), ["p_brand"], asc("p_retailprice"), asc("p_partkey"))
+    last = lambda key: c(key).asc_nulls_last()  # noqa: E731  (as min and the SQL's ORDER BY have it)
+    ranked = distinct_ordered(scan(s, d, "part"), ["p_brand"], last("p_retailprice"), last("p_brand"))
     brands = limit(ranked, 5)
-    least = aggregate(scan(s, d, "part"), {"p_brand": c("p_brand")}, {"least": min_of(c("p_retailprice"))})
-    return brands.join(least, "p_brand")
+    least = aggregate(scan(s, d, "part"), {"brand": c("p_brand")}, {"least": min_of(c("p_retailprice"))})
+    return order(project(brands.join(least, c("p_brand").eqNullSafe(c("brand"))), "p_brand", "least"), last("least"), last("p_brand"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
