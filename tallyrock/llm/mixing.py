@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._shared import ROW, documents, keyed, running_totals
+from ._shared import ROW, documents, keyed, running_totals, small_batches
 
 #: Slots of a schedule at most (besides one more for each source); 8 bytes each.
 SLOTS = 1 << 20
@@ -95,6 +97,47 @@ class Schedule:
         return out
 
 
+class Order:
+    """Where every row of ``docs`` goes in the mixed order, by its source and its rank in it. Its arguments are those of ``mix_positions``."""
+
+    def __init__(self, docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None):
+        counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+        names = sorted(counts, key=lambda s: (s is not None, (s or "").encode()))  # Spark's order
+        if weights is None:
+            shares = [counts[s] ** 0.5 for s in names]
+        else:
+            least = min(weights.values(), default=1.0)
+            shares = [weights.get(s, least) for s in names]
+        self.rows = sum(counts.values())
+        self.block = block = block or max(1, -(-self.rows // SLOTS))
+        self.plan = Schedule(whole_weights(shares), [-(-counts[s] // block) for s in names])
+        self.first = np.cumsum([0, *(counts[s] for s in names)])
+        self.index = {s: k for k, s in enumerate(names)}
+        short = []  # blocks that are not full, by slot
+        for s in names:
+            if counts[s] % block:
+                short.append((int(self.plan.slots(self.index[s], np.array([counts[s] // block]))[0]), block - counts[s] % block))
+        self.short_at = np.array([a for a, _ in sorted(short)], np.int64)
+        self.missing = np.concatenate([[0], np.cumsum([m for _, m in sorted(short)])]).astype(np.int64)
+
+    def codes(self, sources: pa.Array) -> np.ndarray:
+        """The number of each row's source."""
+        return np.array([self.index[s] for s in sources.to_pylist()], np.int64)
+
+    def ranked(self, docs: DataFrame, key: list[str]) -> DataFrame:
+        """doc_id, source, ``key`` and _rank, the rows before a row in the order of source, doc_id and ``key``."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *key, F.lit(1).alias("_one"))
+        return running_totals(rows, ["source", "doc_id", *key], {"_rank": "_one"}, "mixing-ranks").select("doc_id", "source", *key, "_rank")
+
+    def places(self, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot and position of the rows with rank ``own`` in their sources."""
+        slot = np.zeros(len(own), np.int64)
+        for k in np.unique(codes).tolist():
+            rows = codes == k
+            slot[rows] = self.plan.slots(k, own[rows] // self.block)
+        return slot, slot * self.block + own % self.block - self.missing[np.searchsorted(self.short_at, slot, "left")]
+
+
 def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None, key: list[str] | None = None) -> DataFrame:
     """doc_id, source, block, slot and position (from 0, without gaps) of every row of ``docs``.
 
@@ -109,51 +152,70 @@ def mix_positions(docs: DataFrame, weights: dict[str | None, float] | None = Non
     for those of ``key``, long columns that break ties of doc_id. The number of sources is taken
     to be small (one row of each comes to the driver)."""
     key = key or []
-    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
-    names = sorted(counts, key=lambda s: (s is not None, (s or "").encode()))  # Spark's order
-    if weights is None:
-        shares = [counts[s] ** 0.5 for s in names]
-    else:
-        least = min(weights.values(), default=1.0)
-        shares = [weights.get(s, least) for s in names]
-    block = block or max(1, -(-sum(counts.values()) // SLOTS))
-    plan = Schedule(whole_weights(shares), [-(-counts[s] // block) for s in names])
-    first = dict(zip(names, np.cumsum([0, *(counts[s] for s in names)]).tolist(), strict=False))
-    index = {s: k for k, s in enumerate(names)}
-    short = []  # blocks that are not full, by slot
-    for s in names:
-        if counts[s] % block:
-            short.append((int(plan.slots(index[s], np.array([counts[s] // block]))[0]), block - counts[s] % block))
-    short_at = np.array([a for a, _ in sorted(short)], np.int64)
-    missing = np.concatenate([[0], np.cumsum([m for _, m in sorted(short)])]).astype(np.int64)
+    order = Order(docs, weights, block)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sources = batch.column("source")
-            rank = batch.column("_rank").to_numpy()
-            slot, own = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            codes = np.array([index[s] for s in sources.to_pylist()], np.int64)
-            for k in np.unique(codes).tolist():
-                rows = codes == k
-                own[rows] = rank[rows] - first[names[k]]
-                slot[rows] = plan.slots(k, own[rows] // block)
-            position = slot * block + own % block - missing[np.searchsorted(short_at, slot, "left")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sources, *map(pa.array, (own // block, slot, position)), *(batch.column(k) for k in key)], names=["doc_id", "source", "block", "slot", "position", *key])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *key, F.lit(1).alias("_one"))
-    ranked = running_totals(rows, ["source", "doc_id", *key], {"_rank": "_one"}, "mixing-ranks").select("doc_id", "source", *key, "_rank")
-    return ranked.mapInArrow(place, "doc_id long, source string, block long, slot long, position long" + "".join(f", {k} long" for k in key))
+            codes = order.codes(batch.column("source"))
+            own = batch.column("_rank").to_numpy() - order.first[codes]
+            slot, position = order.places(codes, own)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *map(pa.array, (own // order.block, slot, position)), *(batch.column(k) for k in key)], names=["doc_id", "source", "block", "slot", "position", *key])
+
+    return order.ranked(docs, key).mapInArrow(place, "doc_id long, source string, block long, slot long, position long" + "".join(f", {k} long" for k in key))
+
+
+def row_keys(codes: np.ndarray, doc_id: pa.Array, *more: pa.Array) -> Iterator[tuple]:
+    """What rows are sorted by: source, doc_id with nulls first, ``ROW``."""
+    ids = doc_id.to_pylist()
+    return zip(codes.tolist(), (x is not None for x in ids), (x or 0 for x in ids), *(x.to_pylist() for x in more), strict=True)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` in mixed order: partitions and rows follow the position of ``mix_positions``.
 
-    Texts move twice, to their position and in its order. Rows are told apart by where they are
-    stored, so repeated and null doc_ids are rows like others."""
+    Texts move once. A partition has a stretch of positions, and so of each source the rows from one
+    key (doc_id, and where the row is stored) to the next; the first rows of the stretches come to
+    the driver, one for each source and partition, and a text finds its partition by its own key. There
+    its rank is that of its stretch's first row and as many more as it stands behind that, and gives its
+    position. Rows are told apart by where they are stored, so repeated and null doc_ids are rows
+    like others."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
-    placed = mix_positions(rows, weights, block, ROW).select(*ROW, F.col("position").alias("_position"))
+    order = Order(rows, weights, block)
     many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.join(placed, ROW).repartitionByRange(many, "_position").sortWithinPartitions("_position").select(*docs.columns)
+
+    def part_of(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return order.places(codes, own)[1] * many // order.rows
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = order.codes(batch.column("source"))
+            own = batch.column("_rank").to_numpy() - order.first[codes]
+            part = part_of(codes, own)
+            new = (own == 0) | (part != part_of(codes, np.maximum(own - 1, 0)))
+            columns = [*map(pa.array, (codes, own, part)), *(batch.column(k) for k in ("doc_id", *ROW))]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "own", "part", "doc_id", *ROW]).filter(pa.array(new))
+
+    found = order.ranked(rows, ROW).mapInArrow(firsts, "code long, own long, part long, doc_id long" + "".join(f", {k} long" for k in ROW))
+    edges = found.toArrow().sort_by([("code", "ascending"), ("own", "ascending")]).combine_chunks()
+    code, own, part = (edges.column(k).to_numpy() for k in ("code", "own", "part"))
+    keys = list(row_keys(code, *(edges.column(k) for k in ("doc_id", *ROW))))
+
+    @F.arrow_udf("int")
+    def partition(source: pa.Array, doc_id: pa.Array, file: pa.Array, at: pa.Array) -> pa.Array:
+        stretch = [bisect_right(keys, k) - 1 for k in row_keys(order.codes(source), doc_id, file, at)]
+        return pa.array(part[np.array(stretch, np.int64)], pa.int32())
+
+    @F.arrow_udf("long")
+    def position(source: pa.Array, at: pa.Array, place: pa.Array) -> pa.Array:
+        codes = order.codes(source)
+        stretch = np.searchsorted(code * many + part, codes * many + at.to_numpy())
+        return pa.array(order.places(codes, own[stretch] + place.to_numpy() - 1)[1])
+
+    doc_id = F.col("doc_id").cast("long")
+    dealt = rows.withColumn("_part", partition("source", doc_id, *ROW)).repartitionById(many, "_part")
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_part", "source").orderBy(doc_id, *ROW)))
+    return placed.withColumn("_position", position("source", "_part", "_place")).sortWithinPartitions("_position").select(*docs.columns)
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

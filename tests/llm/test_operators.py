@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyrock.llm import fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, repeats, sharding, token_files
-from tallyrock.llm._shared import components, running_totals
+from tallyrock.llm._shared import ROW, components, keyed, running_totals, saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -237,6 +237,20 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_moves_texts_once(spark):
+    ids = [None] * 60 + [7] * 90 + [-5, 0, None, 2**62] + list(range(200))
+    rows = [(i, f"text {n}", ["a", "b", "a", "c", None][n % 5] if n < 320 else "c") for n, i in enumerate(ids)]
+    stored = saved(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6), "test-mix")
+    for more in ({}, {"weights": {"a": 3, "b": 0}, "block": 4}):
+        placed = mixing.mix_positions(keyed(stored), **more, key=ROW)
+        expected = keyed(stored).join(placed.select(*ROW, "position"), ROW).orderBy("position").select(*stored.columns)
+        mixed = mixing.mix(stored, **more)
+        moves = [x for x in mixed._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+        assert len(moves) == 1, moves
+        assert mixed.collect() == expected.collect()
+        assert sum(n > 0 for n in mixed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == 4
+
+
 def test_token_files(docs, unique, empty):
     from tokenizers import Tokenizer
 
